@@ -5,8 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import packing, tokens
-from foliospark.tables import cut, read
+from foliospark.llm import names, packing, tokens
+from foliospark.tables import cut, last_delivery, read
+
+
+def p6_publisher_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling of a publisher's name that means a listed one, with how often it is typed."""
+    sources = last_delivery(read(spark, d, "evidence_source").select("source_key", "publisher", "ingested_at", "deleted_at"), ["source_key"]).filter("deleted_at is null")
+    typed = cut(sources.groupBy(F.col("publisher").alias("name")).agg(F.count("*").alias("sources")))
+    listed = read(spark, d, "publisher_ref").select(F.col("publisher_id").alias("id"), F.col("publisher_name").alias("name"))
+    return names.link_to_list(typed, listed).join(typed, "name").select(F.col("name").alias("publisher"), F.col("id").alias("publisher_id"), "likeness", "sources")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    sources = last_delivery(read(spark, d, "evidence_source").select("source_key", "publisher", "ingested_at", "deleted_at"), ["source_key"]).filter("deleted_at is null")
+    listed = read(spark, d, "publisher_ref").select(F.col("publisher_id").alias("id"), F.col("publisher_name").alias("name"))
+    links = cut(names.link_to_list(sources.select(F.col("publisher").alias("name")), listed))
+    publishers = sources.join(links, sources["publisher"] == links["name"]).select(F.lit("publisher").alias("field"), F.col("id").alias("key_a"), F.col("source_key").alias("key_b"))
+    founders = last_delivery(read(spark, d, "founder").select("founder_id", "run_id", "slug", "founder_name", "ingested_at"), ["founder_id"])
+    founders = cut(founders.select("founder_id", F.coalesce("slug", F.regexp_extract("run_id", r"^[0-9]{14}-(.+)\z", 1)).alias("scope"), F.col("founder_name").alias("name")))
+    known = cut(founders.join(names.person_groups(founders), ["scope", "name"]))
+    a, b = (known.select("scope", "root", F.col("founder_id").alias(f"key_{x}"), F.col("name").alias(f"name_{x}")) for x in "ab")
+    same = a.join(b, ["scope", "root"]).filter("key_a < key_b and name_a <> name_b").select(F.lit("founder").alias("field"), "key_a", "key_b")
+    return publishers.unionByName(same)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -30,5 +51,5 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.join(spec, "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_packing": p8_packing, "p8_fill": p8_fill}
+QUERIES = {"p6_found": p6_found, "p6_publisher_links": p6_publisher_links, "p7_ids": p7_ids, "p8_packing": p8_packing, "p8_fill": p8_fill}
 SQL: dict[str, str] = {}
