@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import names, packing, tokens
+from foliospark.llm import names, packing, sentences, tokens
 from foliospark.tables import cut, last_delivery, read
 
 
@@ -51,5 +51,9 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.join(spec, "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_publisher_links": p6_publisher_links, "p7_ids": p7_ids, "p8_packing": p8_packing, "p8_fill": p8_fill}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(read(spark, d, "documents"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_publisher_links": p6_publisher_links, "p7_ids": p7_ids, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found}
 SQL: dict[str, str] = {}
