@@ -33,10 +33,10 @@ NEVER = frozenset(
 )
 # Abbreviations that may end a sentence; what follows decides.
 MAYBE = frozenset(
-    "janv févr avr juil déc ene abr ago dic inc ltd llc plc co corp bros gmbh ag kg sa s.a cie cía etc usw ff f a.m p.m p.a u.s u.k e.u u.n u.s.a d.c yr yrs mo hrs hr jr sr ph.d jan feb mar apr jun jul aug sept sep oct nov dec "
+    "janv févr avr juil déc ene abr dic inc ltd llc plc co corp bros gmbh ag kg sa s.a cie cía etc usw ff f a.m p.m p.a u.s u.k e.u u.n u.s.a d.c yr yrs mo hrs hr jr sr ph.d jan feb mar apr jun jul aug sept sep oct nov dec "
     "uu г гг руб долл коп т.д т.п др сент окт нояб дек янв февр авг млн млрд stk min sec km kg lb oz ft in".split()
 )
-MONTHS = frozenset("janv févr avr juil déc ene abr ago dic jan feb mar apr jun jul aug sept sep oct nov dec january february march april may june july august september october november december januar februar märz april mai juni juli august september oktober november dezember".split())
+MONTHS = frozenset("janv févr avr juil déc ene abr dic jan feb mar apr jun jul aug sept sep oct nov dec january february march april may june july august september october november december januar februar märz april mai juni juli august september oktober november dezember".split())
 # German nouns that an ordinal number with a point precedes.
 _COUNTED = frozenset("Quartal Halbjahr Jahr Jahrhundert Tag Woche Monat Stock Etage Platz Mal Kapitel Abschnitt Runde Auflage".split())
 _CORPORATE = frozenset("partners holdings ltd inc kg ohg llc plc corp co gmbh ag & sa spa bros".split())
