@@ -196,7 +196,7 @@ def organisation_likeness(a: str, b: str, weight: dict[str, float]) -> float:
     if left_x:
         return best
     if left_y:
-        named = max((weight.get(t, 0) for t in y if t not in left_y), default=0)
+        named = max((weight.get(t, 0) for t in y if t not in left_y and any(edits(plain(t), plain(u), 1) <= 1 for u in x)), default=0)
         return max(best, SHORT_FORM if named >= max(weight.values(), default=0) * 0.75 else 0.0)
     return max(best, s)
 
