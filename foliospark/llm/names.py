@@ -28,7 +28,7 @@ TITLES = frozenset("dr mr mrs ms miss prof professor sir dame herr frau mme mlle
 # Given names and the short forms in common use.
 NICKNAMES = {
     "alexander": "alex sasha sandy xander", "anastasia": "nastya stacy stasia ana", "benjamin": "ben benny benji", "charlotte": "lotte charlie lottie char",
-    "dorothea": "dora dot dottie thea", "elizabeth": "liz beth betty eliza lizzie betsy liza", "francisco": "paco pancho frank cisco", "gabriela": "gabi gaby gabby",
+    "dorothea": "dora dot dottie thea", "elizabeth": "liz beth betty eliza lizzie betsy liza", "francisco": "paco fran pancho frank cisco", "gabriela": "gabi gaby gabby",
     "isabella": "bella izzy isa bel", "johannes": "hannes hans jo joh", "katherine": "kate kathy katie kat kit", "leonard": "len leo lenny",
     "margaret": "peggy maggie meg greta marge", "michael": "mike mick mikey misha", "nathaniel": "nate nat nathan", "oluwaseun": "seun olu",
     "patrick": "paddy pat rick", "priyanka": "priya pri", "richard": "rick dick rich richie", "robert": "bob rob bobby robbie bert",
@@ -127,6 +127,8 @@ def token_likeness(a: str, b: str, persons: bool) -> float:
         return 0.98
     if not persons and len(a) >= 3 and a[0] == b[0] and len(b) - len(a) >= 2 and (b.startswith(a) or a[-1] in b[len(b) // 2 :] and _within(a, b)):
         return 0.9
+    if not persons and len(a) >= 5 and a[0] == b[0] and len(b) - len(a) >= 2 and any(_within(a[:i] + a[i + 1 :], b) for i in range(1, len(a))) and len(set(a) & set(b)) >= 4:
+        return 0.8  # an abbreviation with a typing error
     if len(a) > len(b):
         a, b = b, a
     if persons and _GIVEN.get(a, set()) & _GIVEN.get(b, set()):
@@ -176,8 +178,8 @@ def person_likeness(a: str, b: str, weight: dict[str, float]) -> float:
 def organisation_likeness(a: str, b: str, weight: dict[str, float]) -> float:
     """How likely spelling ``a`` means the listed organisation ``b``.
 
-    Every token of ``a`` needs a partner. Where ``b`` has tokens beyond, ``a`` is a short form, which counts by the
-    rarest part that it names; acronyms and names written without spaces are compared as a whole.
+    Every token of ``a`` needs a partner. Where ``b`` has tokens beyond, ``a`` is a short form, which counts only if all
+    its tokens are spelled right and one of them is among the rarest; acronyms and names written without spaces are compared as a whole.
     """
     if (c := acronym(a)) is not None:
         return 0.9 if c == initials(b) else 0.0
@@ -196,8 +198,9 @@ def organisation_likeness(a: str, b: str, weight: dict[str, float]) -> float:
     if left_x:
         return best
     if left_y:
-        named = max((weight.get(t, 0) for t in y if t not in left_y and any(edits(plain(t), plain(u), 1) <= 1 for u in x)), default=0)
-        return max(best, SHORT_FORM if named >= max(weight.values(), default=0) * 0.75 else 0.0)
+        written = {plain(t) for t in y}
+        named = max((weight.get(t, 0) for t in y if t not in left_y), default=0) if all(plain(u) in written for u in x) else 0
+        return max(best, SHORT_FORM if named and named >= max(weight.values(), default=0) * 0.75 else 0.0)
     return max(best, s)
 
 
