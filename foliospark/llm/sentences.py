@@ -53,6 +53,8 @@ _MARKS = ".!?…。！？．｡।॥؟۔‼⁇⁈⁉"
 _STRONG = "。！？．｡।॥؟۔"
 _CLUSTER = regex.compile(rf"[{_MARKS}]+(?:[\x20  ]?»|[”“」』》）)\]】›〉\"’'])*(?:[{_MARKS}]+[”“»」』》）)\]】›〉\"’']*)*")
 _REFS = re.compile(r"(?:[ \t 　]*\n?[ \t 　]*\[C[A-Z]\d+\])+")
+#: how a piece of sentences ends; one that doesn't is a heading, where an abbreviation hardly ends a unit
+_CLOSED = regex.compile(rf"[{_MARKS}][\x20\u00a0\u202f]?[”“»」』》）)\]】›〉\"’']*(?:\s*\[C[A-Z]\d+\])*\s*$")
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _ITEM = re.compile(r"[^\S\n\r]*(?:[-•*‣◦●▪][^\S\n\r]+)")
 _NO_SPACES = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
@@ -188,6 +190,7 @@ def pieces(text: str) -> Iterator[tuple[int, int, bool]]:
 def candidates(text: str, start: int, stop: int) -> list[tuple[int, float]]:
     """(end, score) of the places in a piece where a unit may end; the last is the piece's end."""
     out = {}
+    heading = not _CLOSED.search(text, start, stop)
     for m in _CLUSTER.finditer(text, start, stop):
         closed = m.end()
         if (k := m[0].find("“")) > 0 and text.rfind("„", start, m.start()) <= text.rfind("“", start, m.start()):
@@ -199,7 +202,7 @@ def candidates(text: str, start: int, stop: int) -> list[tuple[int, float]]:
             end = r.end()
         s = mark_score(text, start, m.start(), closed, end, stop)
         if s is not None:
-            out[end] = s
+            out[end] = s - 3.0 if heading and 0 < s <= 2.0 else s
     if _NO_SPACES.search(text, start, stop):
         for m in re.compile(r"\s+").finditer(text, start, stop):
             a, b = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
