@@ -49,6 +49,19 @@ def last_delivery(df: DataFrame, keys: Sequence[str], recorded: str = "ingested_
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, dealt out to all of them; anything else as it is.
+
+    For Python work that costs far more than moving its rows. A large table has more splits and is never shuffled; a
+    plan with a shuffle of its own isn't looked at, since counting its partitions would run it.
+    """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Scan" not in plan or any(x in plan for x in ("Exchange", "Join", "Aggregate", "Window", "Sort", "Union", "Limit")):
+        return df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: spark.checkpoint.dir of the session, else one of this process's own."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
