@@ -227,6 +227,12 @@ def candidates(left: DataFrame, right: DataFrame, share: float, same: bool) -> D
     return met.join(la, ["scope", "a"]).join(rb, ["scope", "b"]).filter(shared >= F.ceil(F.lit(share) * least)).select("scope", "a", "b")
 
 
+def tasks(df: DataFrame) -> int:
+    """How many tasks Python work on few bytes is spread over: AQE sizes partitions by bytes, not by work."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def with_grams(names: DataFrame, persons: bool, listed: bool = False) -> DataFrame:
     """(scope, name) with the q-grams of its tokens; an acronym's one gram is # and its letters, which a listed name has too."""
 
@@ -242,7 +248,7 @@ def with_grams(names: DataFrame, persons: bool, listed: bool = False) -> DataFra
                     out.append(grams(organisation_tokens(n)) + (["#" + initials(n)] if listed else []))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["scope", "name", "grams"])
 
-    return names.select("scope", "name").mapInArrow(run, "scope string, name string, grams array<string>")
+    return names.select("scope", "name").repartition(tasks(names)).mapInArrow(run, "scope string, name string, grams array<string>")
 
 
 def scored(pairs: DataFrame, weights: DataFrame, persons: bool) -> DataFrame:
@@ -257,9 +263,7 @@ def scored(pairs: DataFrame, weights: DataFrame, persons: bool) -> DataFrame:
             s = [like(x, y, table) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s, pa.float64())], names=["scope", "a", "b", "likeness"])
 
-    spark = pairs.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pairs.select("scope", "a", "b").repartition(tasks, F.col("scope"), F.col("a")).mapInArrow(run, "scope string, a string, b string, likeness double")
+    return pairs.select("scope", "a", "b").repartition(tasks(pairs), F.col("scope"), F.col("a")).mapInArrow(run, "scope string, a string, b string, likeness double")
 
 
 def common_token_weights(names: DataFrame, persons: bool, keep: int) -> DataFrame:
@@ -288,7 +292,7 @@ def link_to_list(names: DataFrame, listed: DataFrame, share: float = 0.3, least:
     listed = listed.filter("name is not null").select("id", F.lit("").alias("scope"), "name")
     asked = names.select(F.lit("").alias("scope"), "name").filter(F.col("name").rlike(r"[\p{L}\p{N}]")).distinct().join(listed.select("name"), "name", "left_anti")
     refs = cut(with_grams(listed.select("scope", "name").distinct(), False, listed=True))
-    pairs = candidates(cut(with_grams(asked, False)), refs, share, same=False)
+    pairs = cut(candidates(cut(with_grams(asked, False)), refs, share, same=False))
     w = common_token_weights(listed.select("name").distinct(), False, 20_000)
     best = scored(pairs, w, False).filter(F.col("likeness") >= least).groupBy("a").agg(F.max_by(F.col("b"), F.col("likeness")).alias("name"), F.sort_array(F.collect_list("likeness"), False).alias("l"))
     best = best.filter(f"size(l) = 1 or l[0] - l[1] > {margin}")
@@ -322,7 +326,7 @@ def person_groups(names: DataFrame, share: float = 0.35, least: float = 0.78) ->
     asked = names.select("scope", "name").filter(F.col("scope").isNotNull() & F.col("name").rlike(r"\p{L}")).distinct()
     held = cut(with_grams(asked, True))
     w = common_token_weights(asked, True, 20_000)
-    links = cut(scored(candidates(held, held, share, same=True), w, True).filter(F.col("likeness") >= least))
+    links = cut(scored(cut(candidates(held, held, share, same=True)), w, True).filter(F.col("likeness") >= least))
     short = cut(with_short_flag(asked))
     flag = lambda c, out: short.select("scope", F.col("name").alias(c), F.col("short").alias(out))
     marked = links.join(flag("a", "sa"), ["scope", "a"]).join(flag("b", "sb"), ["scope", "b"])

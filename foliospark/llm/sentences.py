@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.tables import spread
+
 # Abbreviations after which a sentence goes on whatever follows (titles, pointers, quantities).
 NEVER = frozenset(
     # English
@@ -47,6 +49,7 @@ _GOES_ON = regex.compile(
     r"|(?:[\p{Latin} .’'-]{1,40}|[\p{Han}]{0,6}(?:人|者|方|员|层|会|司))(?:说|问道|表示|称|指出|补充说?|强调|回答|写道|解释)(?:道)?[。，！,.])"
 )
 _ZH_ON = regex.compile(r"\s*(?:但|却|而|并|不过|然而|可是|只是)")
+_ABBREVIATED = NEVER | MAYBE
 OPEN = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "《": "》", "（": "）", "(": ")", "[": "]", "【": "】", "‹": "›", "〈": "〉"}
 CLOSE = {"”", "“", "»", "」", "』", "》", "）", ")", "]", "】", "›", "〉", '"', "’", "'"}
 _MARKS = ".!?…。！？．｡।॥؟۔‼⁇⁈⁉"
@@ -69,19 +72,31 @@ LOOK_BACK = 64
 _JOINED = regex.compile(r"(?:^|[\s(“„«])[^\s/\\\\@]*[\p{Ll}\p{Lo}\p{M}\p{N}%)\]]$")
 
 
+_PAIR = regex.compile(r"(?<![\p{L}.])(\p{L}{1,2})\.\s*(\p{L}{1,2})$")
+_LAST = regex.compile(r".*(?:\p{Ll}{2}|\p{N})\.(\p{Lu}\p{L}*)")
+_APOSTROPHE = re.compile("[’']")
+_SPLIT = re.compile(r"[^\w.\-–’'&\u0300-\u036f\u0900-\u0dff\u064b-\u0652]+")
+
+
 def closing_token(text: str, at: int) -> str:
     """The word before the mark at ``at``; two letters with points are one word where that is an abbreviation (z. B., S. A.)."""
-    left = text[max(0, at - 40) : at]
-    m = regex.search(r"(?<![\p{L}.])(\p{L}{1,2})\.\s*(\p{L}{1,2})$", left)
-    if m and (pair := f"{m[1]}.{m[2]}".lower()) in NEVER | MAYBE:
+    left = text[max(0, at - 30) : at]
+    if (m := _PAIR.search(left, max(0, len(left) - 8))) and (pair := f"{m[1]}.{m[2]}".lower()) in _ABBREVIATED:
         return pair
-    m = _TOKEN.search(left)
-    token = re.split("[’']", m[0])[-1] if m else ""
-    if (k := regex.fullmatch(r".*(?:\p{Ll}{2}|\p{N})\.(\p{Lu}\p{L}*)", token)) is not None:
+    m = _TOKEN.search(_SPLIT.split(left)[-1])
+    token = _APOSTROPHE.split(m[0])[-1] if m else ""
+    if "." in token and (k := _LAST.fullmatch(token)) is not None:
         return k[1]
     return token
 
 
+_CAMEL = re.compile(r"[a-z]{1,3}[A-Z0-9]")
+_AFTER_JOIN = regex.compile(r"\p{Lu}[\p{Ll}’'-]|\p{Lu}\. |\p{Lu}\s|\p{Lo}|[a-z]{1,3}[A-Z0-9]")
+_QUOTE_NEXT = regex.compile(r"[“„«「(（]")
+_YEAR = regex.compile(r"\p{N}\s*г$")
+_UPPER_DOTS, _LOWER_DOTS = regex.compile(r"(?:\p{Lu}\.)+\p{Lu}"), regex.compile(r"(?:\p{Ll}\.)+\p{Ll}")
+
+
 def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int) -> float | None:
     """How well a sentence ends at ``end``; None if none can. Its marks stand from ``at`` to ``closed``, references after.
 
@@ -99,7 +114,7 @@ def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int)
     inner = any(c in CLOSE for c in marks)
     strong = any(c in _STRONG for c in marks)
     cjk_next = bool(_CJK.match(head)) if head else False
-    lower = head.islower() and not re.match(r"[a-z]{1,3}[A-Z0-9]", word)
+    lower = head.islower() and not _CAMEL.match(word)
     if inner and _GOES_ON.match(text, end, stop) and (marks[-1] not in ")）]" or text[end] in ",;:，、；："):
         return None
     if not spaced and head and gap[:1] in (",", ";", ":"):
@@ -113,7 +128,7 @@ def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int)
     if "…" in marks and marks.strip("…\"”’»") == "" or set(marks) <= {"."} and len(marks) >= 3:
         if _ZH_ON.match(text, end, stop) or lower:
             return -4.0
-        return 2.5 if spaced or cjk_next or not head.isascii() or head.isupper() or re.match(r"[a-z]{1,3}[A-Z0-9]", word) or _CJK.search(text[max(start, at - 12) : at]) else None
+        return 2.5 if spaced or cjk_next or not head.isascii() or head.isupper() or _CAMEL.match(word) or _CJK.search(text[max(start, at - 12) : at]) else None
     if "!" in marks or "?" in marks:
         if not spaced and not cjk_next and not gap and (lower or head.isdigit()) and not inner:
             return None
@@ -125,9 +140,9 @@ def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int)
             if text[nxt] in "はがをにのもでと" or token in NEVER:
                 return None
             return 3.5 if len(token) > 1 or inner or text[at - 1] in "%)]" else None
-        if not gap and not inner and head and not head.isdigit() and not lower and (token in MAYBE or _JOINED.search(text, max(start, at - 40), at)) and regex.match(r"\p{Lu}[\p{Ll}’'-]|\p{Lu}\. |\p{Lu}\s|\p{Lo}|[a-z]{1,3}[A-Z0-9]", text, pos=nxt):
+        if not gap and not inner and head and not head.isdigit() and not lower and (token in MAYBE or _JOINED.search(text, max(start, at - 40), at)) and _AFTER_JOIN.match(text, nxt):
             return 3.0 if token not in NEVER and token not in MAYBE else 2.0 if token not in NEVER else -1.0
-        if gap and not inner and head and regex.match(r"[“„«「(（]", gap) and len(token) > 2:
+        if gap and not inner and head and _QUOTE_NEXT.match(gap) and len(token) > 2:
             return 3.0
         if inner and head and _CJK.search(text[start:stop]):
             return 3.0
@@ -136,13 +151,13 @@ def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int)
         return 3.5
     if lower:
         return -6.0
-    if token == "г" and regex.search(r"\p{N}\s*г$", text[max(start, at - 8) : at]):
+    if token == "г" and _YEAR.search(text[max(start, at - 8) : at]):
         return 2.0
     if token in NEVER or len(token) == 1 and text[at - 1].islower():
         return -8.0
-    if len(token) == 1 and token.isalpha() or regex.fullmatch(r"(?:\p{Lu}\.)+\p{Lu}", raw) and token not in MAYBE:
+    if len(token) == 1 and token.isalpha() or _UPPER_DOTS.fullmatch(raw) and token not in MAYBE:
         return -6.0 if word[:1].isupper() and not (_NEXT_IS_OPENER(word) and len(word) > 1) else -2.0
-    if regex.fullmatch(r"(?:\p{Ll}\.)+\p{Ll}", raw) and token not in MAYBE:
+    if _LOWER_DOTS.fullmatch(raw) and token not in MAYBE:
         return -3.0
     if token in MAYBE or token.rpartition(".")[2] in MAYBE and "." in token:
         if head.isdigit():
@@ -155,7 +170,7 @@ def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int)
             return -8.0
         if not text[start : at - len(token)].strip():
             return -6.0
-    if head.isdigit() or head.isupper() or re.match(r"[a-z]{1,3}[A-Z0-9]", word):
+    if head.isdigit() or head.isupper() or _CAMEL.match(word):
         return 4.0
     return 4.0 if head else 3.0
 
@@ -211,17 +226,21 @@ def candidates(text: str, start: int, stop: int) -> list[tuple[int, float]]:
     return [x for x in sorted(out.items()) if text[x[0] : stop].strip()] + [(stop, 6.0)]
 
 
+_BRACKET = re.compile("[" + "".join("\\" + c for c in {*OPEN, *CLOSE} - {"’", "'"}) + "]")
+
+
 def _balance(text: str, lo: int, hi: int, stack: list[str]) -> int:
     """Reads on from ``lo`` to ``hi``; changes the stack of open marks and returns how many closers had no opener."""
     stray = 0
-    for c in text[lo:hi]:
+    for m in _BRACKET.finditer(text, lo, hi):
+        c = m[0]
         if stack and c == stack[-1]:
             stack.pop()
         elif c == '"':
             stack.append('"')
         elif c in OPEN:
             stack.append(OPEN[c])
-        elif c in CLOSE and c not in "’'":
+        elif c in CLOSE:
             if c in stack:
                 del stack[stack.index(c) :]
             stray += 1
@@ -271,10 +290,10 @@ def sentences(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
     """Rows (doc, sent_start, sent_end), one for each sentence unit of each row of ``df``.
 
     Null, empty and blank texts give nothing, an empty table no rows. Rows are independent: repeated rows give repeated
-    units, and nothing is shuffled. Other columns are ignored, whatever their names. A span holds at most 64 candidate
+    units, and nothing is shuffled but a table too small to give each core a split. Other columns are ignored, whatever their names. A span holds at most 64 candidate
     ends, which bounds the work on a text without blank lines to its length.
     """
-    src = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    src = spread(df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

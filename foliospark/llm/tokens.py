@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.tables import cut, spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: fixed value: how this vocabulary's encoder splits text before merging
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -120,9 +122,7 @@ def encode_corpus(df: DataFrame, doc: str = "doc_id", text: str = "text", folder
     documents share makes a skewed join key with a single row on the other side, which AQE splits. Chunks of a document
     are put together in a sorted stream, so a task holds one document's ids at a time.
     """
-    src = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    from foliospark.tables import cut
-
+    src = spread(df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))).withColumn("row", F.monotonically_increasing_id())
     src_type = dict(src.dtypes)["doc"]
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +203,8 @@ def encode_corpus(df: DataFrame, doc: str = "doc_id", text: str = "text", folder
 
 
 def token_counts(df: DataFrame, doc: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
-    """Rows (doc, n_tokens) of every row; 0 for an empty or null text. One pass, no shuffle."""
-    src = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    """Rows (doc, n_tokens) of every row; 0 for an empty or null text. One pass; only a table too small to give each core a split is shuffled."""
+    src = spread(df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(folder)
