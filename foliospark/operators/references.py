@@ -38,10 +38,13 @@ def _split(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def contiguous_runs(ids: DataFrame) -> DataFrame:
-    """Rows (scope, kind, stem, block, first, last): maximal runs of consecutive numbers, cut at block borders."""
+    """Rows (scope, kind, stem, block, first, last): maximal runs of consecutive numbers, cut at block borders.
+
+    Dense ranks pass over repeated ids, so none are made distinct first: one shuffle, and the runs stay where they are.
+    """
     keys = ["scope", "kind", "stem", "block"]
-    held = _split(ids.select("scope", "kind", "id").filter("id is not null").distinct(), "id")
-    island = F.col("num") - F.row_number().over(Window.partitionBy(*keys).orderBy("num"))
+    held = _split(ids.select("scope", "kind", "id").filter("id is not null"), "id")
+    island = F.col("num") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("num"))
     return held.withColumn("_i", island).groupBy(*keys, "_i").agg(F.min("num").alias("first"), F.max("num").alias("last")).drop("_i")
 
 

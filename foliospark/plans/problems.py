@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import flatten, hierarchy, history, references
-from foliospark.tables import last_delivery, read, strip
+from foliospark.tables import cut, last_delivery, read, strip
 
 METRICS = [
     "valuation_usd_m", "revenue_run_rate_usd_m", "arr_usd_m", "revenue_growth_yoy_pct", "gross_margin_pct",
@@ -79,7 +79,7 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
 
 def reference_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All references (ref_field, owner_key, scope, kind, ref) and all existing ids (scope, kind, id)."""
-    claims = last_delivery(read(spark, d, "claim").select("claim_key", "run_id", "claim_id", "source_refs", "ingested_at", "deleted_at"), ["claim_key"]).filter("deleted_at is null")
+    claims = cut(last_delivery(read(spark, d, "claim").select("claim_key", "run_id", "claim_id", "source_refs", "ingested_at", "deleted_at"), ["claim_key"]).filter("deleted_at is null").drop("ingested_at", "deleted_at"))
     blocks = last_delivery(read(spark, d, "report_block").select("block_key", "run_id", "claim_refs", "table_ref", "figure_ref", "ingested_at"), ["block_key"])
     exhibits = last_delivery(read(spark, d, "exhibit").select("exhibit_key", "run_id", "exhibit_id", "exhibit_kind", "ingested_at", "deleted_at"), ["exhibit_key"]).filter("deleted_at is null")
     sources = last_delivery(read(spark, d, "evidence_source").select("source_key", "run_id", "source_id", "ingested_at", "deleted_at"), ["source_key"]).filter("deleted_at is null")
@@ -98,7 +98,7 @@ def reference_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     refs = of_claims.unionByName(of_blocks).select("f.ref_field", "f.kind", "owner_key", F.col("run_id").alias("scope"), references.clean_id(F.col("raw")).alias("ref")).filter("ref is not null")
     have = lambda df, key, kind: df.select(F.col("run_id").alias("scope"), kind.alias("kind"), references.clean_id(F.col(key)).alias("id"))
     ids = have(claims, "claim_id", F.lit("claim")).unionByName(have(sources, "source_id", F.lit("source"))).unionByName(have(exhibits, "exhibit_id", F.col("exhibit_kind")))
-    return refs, ids
+    return cut(refs), ids
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
