@@ -39,16 +39,17 @@ def leaders(df: DataFrame, order: Sequence[Column], k: int = 3) -> DataFrame:
 
 
 def rest(df: DataFrame, key: str, order: Sequence[Column], k: int = 3) -> DataFrame:
-    """The rows after the leaders; all rows if there are no more than ``k``."""
-    top = df.orderBy(*order).limit(k).select(F.col(key).alias("_leader"))
-    counted = df.limit(k + 1).agg((F.count("*") > k).alias("_more"))
-    return df.join(F.broadcast(top), df[key] == F.col("_leader"), "left").crossJoin(F.broadcast(counted)).filter("_leader is null or not _more").drop("_leader", "_more")
+    """The rows after the leaders; all rows if there are no more than ``k``. Leaders are at most ``k`` rows, so they are broadcast."""
+    first = df.orderBy(*order).limit(k + 1)
+    ranked = first.select(F.col(key).alias("_leader"), F.row_number().over(Window.orderBy(*order)).alias("_at"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    leaders_only = ranked.filter(f"_n > {k} and _at <= {k}").select("_leader")
+    return df.join(F.broadcast(leaders_only), df[key] == F.col("_leader"), "left_anti")
 
 
-def top_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of each group with ``position``; the window group limit prunes before the shuffle."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+def top_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int | None) -> DataFrame:
+    """The first ``k`` rows of each group (None: all) with ``position``; the window group limit prunes before the shuffle."""
+    placed = df.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return placed if k is None else placed.filter(F.col("position") <= k)
 
 
 def padded_rank(rank: Column, width: int = 2) -> Column:

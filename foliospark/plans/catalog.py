@@ -99,7 +99,7 @@ def archive_summary(s, d):
 @query("archive_entries", _CARDS + " select substr(run_date, 1, 7) as month, run_id, row_number() over (partition by substr(run_date, 1, 7) order by run_id desc) as place from cur")
 def archive_entries(s, d):
     c = current(s, d, "run_date").select(F.substring("run_date", 1, 7).alias("month"), "run_id")
-    return ranking.top_per_group(c, "month", [F.desc("run_id")], 2**31 - 2).withColumnRenamed("position", "place")
+    return ranking.top_per_group(c, "month", [F.desc("run_id")], None).withColumnRenamed("position", "place")
 
 
 @query("newest_run_date", _CARDS + " select max_by(run_date, run_id) newest_date from cur")
