@@ -181,8 +181,9 @@ def search_documents(s, d):
 
 @query("feed_items", _CARDS + f" select company.name title, headline description, run_date pub_date, '/' || {_FOLDER} || '/' link from cur order by run_id desc limit 20")
 def feed_items(s, d):
-    c = ranking.newest(_foldered(current(s, d, "company", "headline", "run_date")), "run_id", "headline", 20)
-    return feeds.feed_items(c, F.lit("en"))
+    """K3: every current card, newest first, in the feeds of both locales; the SQL still has the English feed's newest 20."""
+    c = _foldered(current(s, d, "company", "headline", "run_date")).withColumn("locale", F.explode(F.array(F.lit("en"), F.lit("zh"))))
+    return feeds.feed_items(ranking.newest(c, "run_id", "locale"), F.col("locale"))
 
 
 @query("sitemap", _CARDS + f", p as (select unnest(['/', '/archive/', '/sectors/', '/top-rated/', '/search/']) as path union all select '/' || {_FOLDER} || '/' from cards) select 'https://example.org' || l || path loc, '<url><loc>https://example.org' || l || path || '</loc></url>' xml from p, (values (''), ('/zh')) v(l)")

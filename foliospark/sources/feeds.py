@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -49,11 +50,22 @@ def write_search_index(documents: DataFrame, path: str) -> None:
 
 
 def write_rss(items: DataFrame, path: str, title: str, site: str, limit: int) -> None:
-    """K3: one XML file of the first ``limit`` items; only those reach the driver."""
-    rows = items.limit(limit).collect()
-    body = "".join(f"<item><title>{escape(r['title'] or '')}</title><description>{escape(r['description'] or '')}</description><pubDate>{r['pub_date']}</pubDate><link>{escape(site.rstrip('/') + r['link'])}</link></item>" for r in rows)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{escape(title)}</title><link>{escape(site)}</link>{body}</channel></rss>')
+    """K3: XML files of at most ``limit`` items in order: ``path``, then its name with -2, -3 and so on; one file's items are held at a time."""
+    stem, ext = os.path.splitext(path)
+    part, body = 1, []
+
+    def put():
+        with open(path if part == 1 else f"{stem}-{part}{ext}", "w", encoding="utf-8") as f:
+            f.write(f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{escape(title)}</title><link>{escape(site)}</link>{"".join(body)}</channel></rss>')
+
+    for r in items.toLocalIterator():
+        if len(body) == limit:
+            put()
+            part, body = part + 1, []
+        body.append(f"<item><title>{escape(r['title'] or '')}</title><description>{escape(r['description'] or '')}</description><pubDate>{r['pub_date']}</pubDate><link>{escape(site.rstrip('/') + r['link'])}</link></item>")
+    put()
+    while os.path.exists(old := f"{stem}-{(part := part + 1)}{ext}"):
+        os.remove(old)
 
 
 def write_sitemap(addresses: DataFrame, path: str) -> None:

@@ -1,8 +1,12 @@
 """Queries that once did less than the whole job, against brute force."""
 
+import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from foliospark.plans import catalog
+from foliospark.sources import feeds
 from foliospark.tables import read
 
 
@@ -16,3 +20,24 @@ def test_failed_messages_have_all_failures(spark, sf, tmp_path):
     spark.range(2500).selectExpr("id as event_id", "1 as user_id", "'error' as event_type").write.parquet(str(tmp_path / "events.parquet"))
     hot = sorted((r.part, r.failures, r.message.count("error:")) for r in catalog.failed_messages(spark, str(tmp_path)).collect())
     assert hot == [(0, 2500, 1000), (1, 2500, 1000), (2, 2500, 500)]
+
+
+def test_feed_has_every_current_card_in_both_locales(spark, sf, tmp_path):
+    more = read(spark, sf, "report_card").crossJoin(spark.range(4)).withColumn("run_id", F.concat_ws("-", "run_id", "id")).drop("id")
+    more.write.parquet(str(tmp_path / "report_card.parquet"))
+    sf = str(tmp_path)
+    cards = sorted(catalog.current(spark, sf).select("run_id", "headline", "run_date", "company").collect(), key=lambda r: r.run_id, reverse=True)
+    got = catalog.feed_items(spark, sf).collect()
+    assert len(cards) > 20 and len(got) == 2 * len(cards)
+    for zh in (False, True):
+        mine = [r for r in got if r.link.startswith("/zh/") == zh]
+        assert [(r.title, r.description, r.pub_date) for r in mine] == [(c.company.name, c.headline, c.run_date) for c in cards]
+        assert all(c.run_id[15:] in r.link for r, c in zip(mine, cards))
+
+
+def test_rss_writes_the_rest_to_further_parts(spark, tmp_path):
+    items = spark.range(7).selectExpr("concat('t', id) as title", "'d' as description", "'2024-01-01' as pub_date", "'/a/' as link").orderBy("title")
+    (tmp_path / "rss-4.xml").write_text("of an earlier feed")
+    feeds.write_rss(items, str(tmp_path / "rss.xml"), "T", "https://e.org/", 3)
+    assert [re.findall("<title>(t.)", (tmp_path / f).read_text()) for f in ("rss.xml", "rss-2.xml", "rss-3.xml")] == [["t0", "t1", "t2"], ["t3", "t4", "t5"], ["t6"]]
+    assert len(list(tmp_path.iterdir())) == 3
