@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 BLOCK = 4096
 #: fixed values: ratios of units that are mistaken for each other
@@ -50,24 +52,29 @@ def matching_factor(shift: float, known: Sequence[float], slack: float) -> float
     return None if abs(abs(shift) - math.log10(k)) > slack else (k if shift > 0 else 1 / k)
 
 
+def segments(y: Sequence[float], stated: Sequence[float | None], penalty: float) -> list[tuple[int, int, float, float | None]]:
+    """(start, end, level, median of the stated or None) of each segment of one block in order."""
+    starts = changepoints(y, penalty) if y else []
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(y)]):
+        have = sorted(x for x in stated[a:b] if x is not None)
+        out.append((a, b, sum(y[a:b]) / (b - a), have[len(have) // 2] if have else None))
+    return out
+
+
 def settle(y: Sequence[float], stated: Sequence[float | None], penalty: float, known: Sequence[float], slack: float, level: float | None = None):
-    """For one block in order: segment number, shift at its start, and the factor for each point without a stated one.
+    """For one history held in memory, which ``unit_histories`` does over many blocks, in order: segment number, shift at its start, and the factor for each point without a stated one.
 
     ``y`` are logarithms of numbers as recorded, ``stated`` the logarithm of the factor that a text states. ``level``
     is the last level of the block before. The factor of an unstated point is that of the nearest segment with stated
     ones, changed by the known factors of the shifts between.
     """
-    starts = changepoints(y, penalty) if y else []
-    ends = [*starts[1:], len(y)]
-    levels = [sum(y[a:b]) / (b - a) for a, b in zip(starts, ends)]
+    found = segments(y, stated, penalty)
+    starts, ends, levels, told = ([s[k] for s in found] for k in range(4))
     shifts, prior = [], level
     for lv in levels:
         shifts.append(None if prior is None else matching_factor(lv - prior, known, slack))
         prior = lv
-    told = []
-    for a, b in zip(starts, ends):
-        have = sorted(x for x in stated[a:b] if x is not None)
-        told.append(have[len(have) // 2] if have else None)
     for order in (range(1, len(told)), range(len(told) - 2, -1, -1)):
         for i in order:
             j = i - 1 if order.step > 0 else i + 1
@@ -92,64 +99,65 @@ def unit_histories(
     ``statements(row)`` gets a dict of a row and yields (field, number, factor or None, std_unit, currency) for each
     quantity that it states. Output: ``carried``, field, number, factor, std_unit, currency (factor and numbers as
     decimal texts), stated, segment, shift (the known factor by which the level changed at this row, else null).
-    A history is the rows of one series, field and std_unit in the order of ``order``; zero and negative numbers have
-    no logarithm and pass by it. Rows are range-partitioned by series and order, so a series with a third of all rows
-    is spread over many tasks; a task holds at most 4,096 points of a series at once, and a block's first shift is
-    taken against the level of the block before. Null series and orders sort first. Nothing is dropped.
+    A history is the rows of one series, field and std_unit in the order of ``order``, equal ones by number; zero and
+    negative numbers have no logarithm and pass by it. Blocks of 4,096 points are cut by the row number inside the
+    history, so no border depends on partitions; they are searched apart, a large history's by many tasks. Shifts,
+    segment numbers and the factors of unstated points then run along the whole history, over block borders too: one
+    task's sort, which spills, sees a history. Null series and orders sort first. Nothing is dropped.
     """
     names = [f"c{i}" for i in range(len(carried))]
-    src = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias("row"), F.struct(*[F.col(f"`{c}`") for c in series]).alias("series"), F.struct(*[F.col(f"`{c}`") for c in order]).alias("at"))
-    kinds = {n: src.schema[n].dataType for n in names}
-    schema = T.StructType(
-        [T.StructField(n, kinds[n]) for n in names]
-        + [T.StructField(n, t) for n, t in (("field", T.StringType()), ("number", T.StringType()), ("factor", T.StringType()), ("std_unit", T.StringType()), ("currency", T.StringType()), ("stated", T.BooleanType()), ("segment", T.IntegerType()), ("shift", T.DoubleType()))]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = None
-        now, blocks, levels, block_no = None, {}, {}, {}
-        out: list[tuple] = []
-
-        def flush(key):
-            rows = blocks.pop(key)
-            live = [r for r in rows if r[2] > 0]
-            y = [float(r[2].log10()) for r in live]
-            st = [None if r[3] is None else float(r[3].log10()) for r in live]
-            seg, shift, fill, level = settle(y, st, penalty, known, slack, levels.get(key))
-            levels[key] = level
-            base = block_no.get(key, 0)
-            block_no[key] = base + (seg[-1] + 1 if seg else 0)
-            marks = iter(zip(seg, shift, fill))
-            for carry, field, n, f, unit, cur in rows:
-                s, sh, fi = next(marks) if n > 0 else (None, None, None)
-                factor = str(f) if f is not None else None if fi is None else format(10**fi, ".12g")
-                out.append((*carry, field, str(n), factor, unit, cur, f is not None, None if s is None else s + base, sh))
-
-        def emit():
-            cols = list(zip(*out))
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
-            out.clear()
-            return batch
-
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["series"] != now:
-                    for key in list(blocks):
-                        flush(key)
-                    now, levels, block_no = r["series"], {}, {}
-                for field, n, f, unit, cur in statements(r["row"]):
-                    key = (field, unit)
-                    blocks.setdefault(key, []).append(([r[c] for c in names], field, n, f, unit, cur))
-                    if len(blocks[key]) >= BLOCK:
-                        flush(key)
-            if len(out) > 20_000:
-                yield emit()
-        for key in list(blocks):
-            flush(key)
-        if out:
-            yield emit()
-
-    return src.repartitionByRange("series", "at").sortWithinPartitions("series", "at").drop("at").mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, carried)))
+    src = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.struct(*[F.col(f"`{c}`") for c in series]).alias("series"), F.struct(*[F.col(f"`{c}`") for c in order]).alias("at"), F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias("row"))
+    texts = ("field", "number", "factor", "std_unit", "currency")
+    points = T.StructType([src.schema[n] for n in (*names, "series", "at")] + [T.StructField(t, T.StringType()) for t in texts])
+    marked = T.StructType([*points, T.StructField("rn", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("level", T.DoubleType()), T.StructField("told", T.DoubleType())])
+
+    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, said = [], []
+            for i, row in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                for field, n, f, unit, cur in statements(row):
+                    at.append(i)
+                    said.append((field, str(n), None if f is None else str(f), unit, cur))
+            kept = b.take(pa.array(at, pa.int64())).columns[:-1]
+            said = [pa.array(c, pa.string()) for c in zip(*said)] if said else [pa.array([], pa.string()) for _ in texts]
+            yield pa.RecordBatch.from_arrays([*kept, *said], names=points.names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marks(b):
+            first = [i for i, r in enumerate(b.column("rn").to_pylist()) if (r - 1) % BLOCK == 0]
+            number, factor = [Decimal(x) for x in b.column("number").to_pylist()], b.column("factor").to_pylist()
+            start, level, told = [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
+            for lo, hi in zip(first, [*first[1:], b.num_rows]):
+                live = [i for i in range(lo, hi) if number[i] > 0]
+                stated = [None if factor[i] is None else float(Decimal(factor[i]).log10()) for i in live]
+                for s, e, lv, tl in segments([float(number[i].log10()) for i in live], stated, penalty):
+                    for i in live[s:e]:
+                        start[i], level[i], told[i] = int(i == live[s]), lv, tl
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(start, pa.int32()), pa.array(level, pa.float64()), pa.array(told, pa.float64())], names=marked.names)
+
+        rest = None
+        for b in batches:
+            b = b if rest is None else pa.concat_batches([rest, b])
+            last = max((i for i, r in enumerate(b.column("rn").to_pylist()) if (r - 1) % BLOCK == 0), default=0)
+            if last:
+                yield marks(b.slice(0, last))
+            rest = b.slice(last)
+        if rest is not None and rest.num_rows:
+            yield marks(rest)
+
+    key = ["series", "field", "std_unit"]
+    numbered = src.mapInArrow(state, points).withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("at", "number", "factor", "currency", *[n for n in names if not src.schema[n].dataType.typeName().startswith(("map", "variant"))])))
+    blocks = numbered.repartition(*key, F.expr(f"(rn - 1) div {BLOCK}")).sortWithinPartitions(*key, "rn")
+    along = Window.partitionBy(*key).orderBy("rn")
+    before, whole = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    change = F.col("level") - F.last("level", True).over(before)
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.abs("change") - F.lit(math.log10(k))).alias("off"), F.lit(float(k)).alias("k")) for k in known]))
+    shift = F.when((F.col("start") == 1) & (F.col("nearest.off") <= slack), F.when(F.col("change") > 0, F.col("nearest.k")).otherwise(1 / F.col("nearest.k")))
+    out = blocks.mapInArrow(search, marked).withColumn("change", change).withColumn("nearest", F.when(F.col("change").isNotNull(), nearest)).withColumn("shift", shift)
+    out = out.withColumn("steps", F.sum(F.coalesce(F.log10("shift"), F.lit(0.0))).over(so_far)).withColumn("base", F.col("told") + F.col("steps"))
+    # told + steps stays the same along a history as long as only known factors change its level
+    fill = F.coalesce(F.last("base", True).over(so_far), F.first("base", True).over(whole)) - F.col("steps")
+    out = out.withColumn("fill", F.when(F.col("level").isNotNull(), F.format_string("%.11e", F.pow(F.lit(10.0), fill))))
+    out = out.withColumn("segment", F.when(F.col("level").isNotNull(), F.sum(F.coalesce("start", F.lit(0))).over(so_far) - 1).cast("int"))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carried)], "field", "number", F.coalesce("factor", F.when(F.col("fill") != "null", F.col("fill"))).alias("factor"), "std_unit", "currency", F.col("factor").isNotNull().alias("stated"), "segment", "shift")

@@ -75,3 +75,27 @@ def test_long_series_are_cut_into_blocks(spark):
     df = spark.range(10_000).select(F.lit("a").alias("s"), F.col("id").alias("i"), F.when(F.col("id") < 5000, "7").otherwise("7000").alias("v"), F.lit("1").alias("f"))
     got = unit_histories(df, ["s"], ["i"], _numbers, ["i"])
     assert got.count() == 10_000 and [r.i for r in got.filter("shift is not null").collect()] == [5000]
+
+
+def test_a_partition_border_on_a_shift_changes_nothing(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    df = spark.range(8).select(F.lit("a").alias("s"), F.col("id").alias("i"), F.when(F.col("id") < 4, "7").otherwise("7000").alias("v"), F.lit("1").alias("f"))
+    try:
+        for parts in (1, 64):
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = sorted((r.i, r.segment, r.shift) for r in unit_histories(df, ["s"], ["i"], _numbers, ["i"]).collect())
+            assert got == [(i, int(i > 3), 1000.0 if i == 4 else None) for i in range(8)]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_stated_factors_and_segments_cross_block_borders(spark):
+    row = lambda told: spark.range(9000).select(F.lit("a").alias("s"), F.col("id").alias("i"), F.when(F.col("id") < 4096, "7").otherwise("7000").alias("v"), F.when(told, F.when(F.col("id") < 4096, "1000").otherwise("1")).alias("f"))
+    for told in (F.col("id") < 100, F.col("id") > 8500):
+        got = unit_histories(row(told), ["s"], ["i"], _numbers, ["i"]).orderBy("i").collect()
+        assert {float(r.number) * float(r.factor) for r in got} == {7000.0}
+        assert [(r.i, r.shift) for r in got if r.shift] == [(4096, 1000.0)] and [r.segment for r in got] == sorted(r.segment for r in got) and {r.segment for r in got} == {0, 1, 2}
+    never = unit_histories(row(F.lit(False)), ["s"], ["i"], _numbers, ["i"])
+    assert never.filter("factor is not null").count() == 0
