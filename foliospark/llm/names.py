@@ -227,6 +227,50 @@ def candidates(left: DataFrame, right: DataFrame, share: float, same: bool) -> D
     return met.join(la, ["scope", "a"]).join(rb, ["scope", "b"]).filter(shared >= F.ceil(F.lit(share) * least)).select("scope", "a", "b")
 
 
+def _deletions(token: str) -> set[str]:
+    """What is left of a token without as many letters as may be mistyped: two tokens within the allowed edits share one."""
+    out = last = {token}
+    for _ in range(2 if len(token) > 5 else 1):  # two errors are allowed from 8 letters on, so also 6 letters against 8
+        last = {v[:i] + v[i + 1 :] for v in last for i in range(len(v))}
+        out = out | last
+    return out
+
+
+def person_keys(name: str) -> list[tuple[str, list[str]]]:
+    """(key, marks) for each way in which a written-out token of a name can meet a like one.
+
+    Two spellings can mean one person only if they have a key in common and, where both have further tokens, a mark:
+    those tokens' first letters (as many as survive the allowed edits) and given names. Initials have just their letter.
+    """
+    toks = person_tokens(name)
+    given = [{f"~{g}" for g in _GIVEN.get(t, ())} for t in toks]
+    marks = [{c for form in (t, plain(t)) for c in form[: 3 if len(form) > 5 else 2]} | g for t, g in zip(toks, given)]
+    out = [("=" + "".join(toks), [])]
+    for i, t in enumerate(toks):
+        if len(t) > 1:
+            others = sorted(set().union(*marks[:i], *marks[i + 1 :]))
+            out += [(k, others) for k in sorted(_deletions(t) | _deletions(plain(t)) | given[i])]
+    return out
+
+
+def person_candidates(names: DataFrame) -> DataFrame:
+    """Pairs (scope, a, b), a < b, that share a key and a mark of ``person_keys``: exact where one written-out token at least meets another one.
+
+    Complements the q-grams, of which an initial shares none with the name that it stands for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, k, m) for i, n in enumerate(b.column(1).to_pylist()) for k, m in person_keys(n)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["scope", "name", "key", "marks"])
+
+    held = names.select("scope", "name").repartition(tasks(names)).mapInArrow(run, "scope string, name string, key string, marks array<string>")
+    side = lambda x: held.select("scope", "key", F.col("name").alias(x), F.col("marks").alias(f"m{x}"))
+    met = side("a").join(side("b"), ["scope", "key"]).filter("a < b and (size(ma) = 0 or size(mb) = 0 or arrays_overlap(ma, mb))")
+    return met.select("scope", "a", "b").distinct()
+
+
 def tasks(df: DataFrame) -> int:
     """How many tasks Python work on few bytes is spread over: AQE sizes partitions by bytes, not by work."""
     spark = df.sparkSession
@@ -326,7 +370,8 @@ def person_groups(names: DataFrame, share: float = 0.35, least: float = 0.78) ->
     asked = names.select("scope", "name").filter(F.col("scope").isNotNull() & F.col("name").rlike(r"\p{L}")).distinct()
     held = cut(with_grams(asked, True))
     w = common_token_weights(asked, True, 20_000)
-    links = cut(scored(cut(candidates(held, held, share, same=True)), w, True).filter(F.col("likeness") >= least))
+    pairs = candidates(held, held, share, same=True).unionByName(person_candidates(asked)).distinct()
+    links = cut(scored(cut(pairs), w, True).filter(F.col("likeness") >= least))
     short = cut(with_short_flag(asked))
     flag = lambda c, out: short.select("scope", F.col("name").alias(c), F.col("short").alias(out))
     marked = links.join(flag("a", "sa"), ["scope", "a"]).join(flag("b", "sb"), ["scope", "b"])

@@ -45,3 +45,19 @@ def test_candidates_miss_no_pair(spark):
 
 def test_edit_distance():
     assert [names.edits(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "abcd"), ("abc", "xyz"), ("", "a"))] == [0, 1, 1, 3, 1]
+
+
+def test_people_with_initials_and_a_mistyped_short_surname(spark):
+    people = [("a", "Bsetröm K.", 1), ("a", "Kwame Beström", 1), ("b", "Feraß K.", 2), ("b", "Kwame Feiraß", 2), ("c", "Uli Kaearo", 3), ("c", "Ulrich Kaerao", 3), ("c", "I. Keiaß", 4), ("c", "Isabella Keißa", 4)]
+    df = spark.createDataFrame([(s, n) for s, n, _ in people], "scope string, name string")
+    got = {(r.scope, r.name): r.root for r in names.person_groups(df).collect()}
+    for (s, n, p), (t, m, q) in itertools.combinations(people, 2):
+        assert ((s, got[s, n]) == (t, got[t, m])) == (p == q), (n, m)
+
+
+def test_person_candidates_miss_no_likely_pair(spark):
+    spelled = [n for _, n, _ in PEOPLE] + ["Bsetröm K.", "Kwame Beström", "Kwmae Besttröm", "Beström", "Bob Li", "Robert Lie", "De Lafioanda W.", "William Kraonda", "Wiloiam Kroanda"]
+    df = spark.createDataFrame([("s", n) for n in spelled], "scope string, name string").distinct()
+    got = {(r.a, r.b) for r in names.person_candidates(df).collect()}
+    likely = {(a, b) for a, b in itertools.combinations(sorted(set(spelled)), 2) if names.person_likeness(a, b, {}) > 0}
+    assert likely and likely <= got
