@@ -16,6 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foliospark.functions.text import plain
 
 BATCH_BYTES = 4_000_000
 
@@ -239,3 +242,63 @@ def shape_report(text: str) -> dict | None:
         return {"label": _label(x, "title", "id"), "rows": [row(y, columns) for y in (rows if isinstance(rows, list) else members(rows, "rows"))]}
 
     return {"label": None, "chapters": [chapter(x) for x in get(v, "chapters")], "tables": [table(x) for x in get(v, "tables")]}
+
+
+def unwrapped(text: str):
+    """The value of a JSON text without its wrappings (JSON text in a string, {report: ...}, a list of one); a text that is no JSON is itself."""
+    v = text
+    while True:
+        if isinstance(v, str):
+            try:
+                w = json.loads(v)
+            except ValueError:
+                return v
+            if not isinstance(w, (dict, list, str)):
+                return w
+            v = w
+        elif isinstance(v, dict) and list(v) == ["report"]:
+            v = v["report"]
+        elif isinstance(v, list) and sum(x is not None for x in v) == 1:
+            v = next(x for x in v if x is not None)
+        else:
+            return v
+
+
+def plain_members(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """Rows (key, path, text): B7's plain text of a whole payload, at path $, and of each of its members on every level down to the values.
+
+    B7 lets an object's label or title stand for it, so the texts below one are only in the members' rows. A payload
+    nested too deeply to be parsed is its own text.
+    """
+
+    def texts(text):
+        if text is None:
+            return [("$", "")]
+        try:
+            out, todo = [], [("$", unwrapped(text))]
+            while todo:
+                path, v = todo.pop()
+                out.append((path, plain(v)))
+                inside = [(f"{path}.{k}", x) for k, x in v.items()] if isinstance(v, dict) else [(f"{path}[{i}]", x) for i, x in enumerate(v)] if isinstance(v, list) else []
+                todo += reversed(inside)
+            return out
+        except RecursionError:
+            return [("$", text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(b, rows):
+            at, path, text = zip(*rows)
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(path, pa.string()), pa.array(text, pa.string())], names=[key, "path", "text"])
+
+        for b in batches:
+            rows = []
+            for i, t in enumerate(b.column(1)):
+                rows += [(i, *m) for m in texts(t.as_py())]
+                if len(rows) > 20_000:
+                    yield emit(b, rows)
+                    rows = []
+            if rows:
+                yield emit(b, rows)
+
+    kind = df.schema[key].dataType
+    return df.select(key, payload).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("path", T.StringType()), T.StructField("text", T.StringType())]))

@@ -1,5 +1,6 @@
 """Queries that once did less than the whole job, against brute force."""
 
+import json
 import re
 from collections import defaultdict
 
@@ -41,3 +42,17 @@ def test_rss_writes_the_rest_to_further_parts(spark, tmp_path):
     feeds.write_rss(items, str(tmp_path / "rss.xml"), "T", "https://e.org/", 3)
     assert [re.findall("<title>(t.)", (tmp_path / f).read_text()) for f in ("rss.xml", "rss-2.xml", "rss-3.xml")] == [["t0", "t1", "t2"], ["t3", "t4", "t5"], ["t6"]]
     assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_plain_text_covers_the_unwrapped_payload(spark, tmp_path):
+    report = {"company": {"name": "A"}, "subtitle": "s", "chapters": [{"title": "T", "sections": [{"blocks": [{"type": "list", "items": ["x", True]}]}]}], "tables": []}
+    wrapped = [json.dumps(report), json.dumps(json.dumps(report)), json.dumps({"report": report}), json.dumps([report]), json.dumps([None, {"report": json.dumps(report)}])]
+    rows = [(i, p, 1) for i, p in enumerate([*wrapped, None, "no json", "[1, 2]", "[" * 100_000])]
+    spark.createDataFrame(rows, "load_id bigint, payload string, ingested_at int").write.parquet(str(tmp_path / "full_report.parquet"))
+    got = defaultdict(dict)
+    for r in catalog.plain_text(spark, str(tmp_path)).collect():
+        got[r.load_id][r.path] = r.text
+    assert got[0]["$"] == "company: A, subtitle: s, chapters: T, tables" and got[0]["$.chapters[0].sections[0].blocks[0].items"] == "x, Yes"
+    assert got[0]["$.chapters[0].sections"] == "blocks: type: list, items: x, Yes" and len(got[0]) == 16
+    assert all(got[i] == got[0] for i in range(1, 5))
+    assert [got[i] for i in (5, 6, 7)] == [{"$": ""}, {"$": "no json"}, {"$": "1, 2", "$[0]": "1", "$[1]": "2"}] and set(got[8]) == {"$"}
