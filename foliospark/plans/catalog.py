@@ -231,10 +231,12 @@ _MONEY = "case when abs(v) >= 1000 then '$' || " + _fmt("(v / 1000)") + " || 'B'
 
 @query("metric_rows", _CARDS + f", u as (select run_id, unnest(['Valuation', 'Revenue', 'ARR']) as label, unnest([key_metrics.valuation_usd_m, key_metrics.revenue_run_rate_usd_m, key_metrics.arr_usd_m]) v from cur) select run_id, label, {_MONEY} as shown from u where v is not null and not isnan(v)")
 def metric_rows(s, d):
-    """The metrics that a card shows, rows without a value removed."""
+    """The five metrics that a card shows, rows without a value removed; the SQL still has the first three."""
     row = lambda label, v: F.struct(F.lit(label).alias("label"), v.alias("shown"))
     m = lambda k: text.money_m(F.col(f"key_metrics.{k}"))
-    rows = F.filter(F.array(row("Valuation", m("valuation_usd_m")), row("Revenue", m("revenue_run_rate_usd_m")), row("ARR", m("arr_usd_m"))), lambda r: r["shown"].isNotNull())
+    p = lambda k: text.metric(F.col(f"key_metrics.{k}"), "%")
+    shown = [row("Valuation", m("valuation_usd_m")), row("Revenue", m("revenue_run_rate_usd_m")), row("ARR", m("arr_usd_m")), row("Growth", p("revenue_growth_yoy_pct")), row("NRR", p("nrr_pct"))]
+    rows = F.filter(F.array(*shown), lambda r: r["shown"].isNotNull())
     return current(s, d, "key_metrics").select("run_id", F.explode(rows).alias("r")).select("run_id", "r.label", "r.shown")
 
 

@@ -56,3 +56,11 @@ def test_plain_text_covers_the_unwrapped_payload(spark, tmp_path):
     assert got[0]["$.chapters[0].sections"] == "blocks: type: list, items: x, Yes" and len(got[0]) == 16
     assert all(got[i] == got[0] for i in range(1, 5))
     assert [got[i] for i in (5, 6, 7)] == [{"$": ""}, {"$": "no json"}, {"$": "1, 2", "$[0]": "1", "$[1]": "2"}] and set(got[8]) == {"$"}
+
+
+def test_metric_rows_have_growth_and_nrr(spark, tmp_path):
+    kept = "valuation_usd_m double, revenue_run_rate_usd_m double, arr_usd_m double, revenue_growth_yoy_pct double, nrr_pct double"
+    rows = [("a", (1500.0, 2.0, None, 1234.5678, 110.0), (None,), 1), ("b", (None, None, 3.0, float("nan"), None), (None,), 1)]
+    spark.createDataFrame(rows, f"run_id string, key_metrics struct<{kept.replace(' double', ': double')}>, revision struct<status: string>, ingested_at int").write.parquet(str(tmp_path / "report_card.parquet"))
+    got = [tuple(r) for r in catalog.metric_rows(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("a", "Growth", "1,234.568%"), ("a", "NRR", "110%"), ("a", "Revenue", "$2M"), ("a", "Valuation", "$1.5B"), ("b", "ARR", "$3M")]
