@@ -295,35 +295,44 @@ def with_grams(names: DataFrame, persons: bool, listed: bool = False) -> DataFra
     return names.select("scope", "name").repartition(tasks(names)).mapInArrow(run, "scope string, name string, grams array<string>")
 
 
-def scored(pairs: DataFrame, weights: DataFrame, persons: bool) -> DataFrame:
-    """Adds the likeness of each pair. ``weights`` has (token, weight) of the tokens that pairs meet."""
-    held = weights.agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("m"))
-    (table,) = [r["m"] for r in held.collect()]
-    table = table or {}
+def token_rows(names: DataFrame, persons: bool) -> DataFrame:
+    """(name, token): each token of each name once."""
+    split = person_tokens if persons else organisation_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        like = person_likeness if persons else organisation_likeness
         for b in batches:
-            s = [like(x, y, table) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s, pa.float64())], names=["scope", "a", "b", "likeness"])
+            rows = [(n, t) for n in b.column(0).to_pylist() for t in sorted(set(split(n)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["name", "token"])
 
-    return pairs.select("scope", "a", "b").repartition(tasks(pairs), F.col("scope"), F.col("a")).mapInArrow(run, "scope string, a string, b string, likeness double")
+    return names.select("name").mapInArrow(run, "name string, token string")
 
 
-def common_token_weights(names: DataFrame, persons: bool, keep: int) -> DataFrame:
-    """(token, weight) of the ``keep`` most frequent tokens: log(names / names with it). Rarer ones all count as the rarest.
+def scored(pairs: DataFrame, weights: DataFrame, persons: bool) -> DataFrame:
+    """Adds the likeness of each pair. ``weights`` has (token, weight); a pair gets those of its own tokens by a join.
 
-    The size of the table is bounded by ``keep``; counts are over all names.
+    The largest weight of all, that of unknown tokens, is one number; no table of tokens reaches the driver.
     """
-    split = person_tokens if persons else organisation_tokens
+    (most,) = [r["m"] for r in weights.agg(F.max("weight").alias("m")).collect()]
+    rarest = {} if most is None else {"": most}  # no token is empty
+    met = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    held = token_rows(met, persons).join(weights, "token").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("w"))
+    side = lambda x: held.select(F.col("name").alias(x), F.col("w").alias(f"w{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        like = person_likeness if persons else organisation_likeness
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([t for n in b.column(0).to_pylist() for t in set(split(n))], pa.string())], names=["token"])
+            tables = zip(b.column(3).to_pylist(), b.column(4).to_pylist())
+            s = [like(x, y, {**rarest, **dict(wx or ()), **dict(wy or ())}) for x, y, (wx, wy) in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), tables)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s, pa.float64())], names=["scope", "a", "b", "likeness"])
+
+    weighed = pairs.select("scope", "a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select("scope", "a", "b", "wa", "wb")
+    return weighed.repartition(tasks(pairs), F.col("scope"), F.col("a")).mapInArrow(run, "scope string, a string, b string, likeness double")
+
 
+def token_weights(names: DataFrame, persons: bool) -> DataFrame:
+    """(token, weight) of every token: log(names / names with it) over all names."""
     total = names.count() or 1
-    counts = names.select("name").mapInArrow(run, "token string").groupBy("token").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "token").limit(keep).select("token", (F.log(F.lit(float(total)) / F.col("n")) + 0.1).alias("weight"))
+    return token_rows(names, persons).groupBy("token").agg(F.count("*").alias("n")).select("token", (F.log(F.lit(float(total)) / F.col("n")) + 0.1).alias("weight"))
 
 
 def link_to_list(names: DataFrame, listed: DataFrame, share: float = 0.3, least: float = 0.6, margin: float = 0.02) -> DataFrame:
@@ -337,7 +346,7 @@ def link_to_list(names: DataFrame, listed: DataFrame, share: float = 0.3, least:
     asked = names.select(F.lit("").alias("scope"), "name").filter(F.col("name").rlike(r"[\p{L}\p{N}]")).distinct().join(listed.select("name"), "name", "left_anti")
     refs = cut(with_grams(listed.select("scope", "name").distinct(), False, listed=True))
     pairs = cut(candidates(cut(with_grams(asked, False)), refs, share, same=False))
-    w = common_token_weights(listed.select("name").distinct(), False, 20_000)
+    w = cut(token_weights(listed.select("name").distinct(), False))
     best = scored(pairs, w, False).filter(F.col("likeness") >= least).groupBy("a").agg(F.max_by(F.col("b"), F.col("likeness")).alias("name"), F.sort_array(F.collect_list("likeness"), False).alias("l"))
     best = best.filter(f"size(l) = 1 or l[0] - l[1] > {margin}")
     return best.join(listed.groupBy("name").agg(F.min("id").alias("id")), "name").select(F.col("a").alias("name"), "id", F.col("l")[0].alias("likeness"))
@@ -369,7 +378,7 @@ def person_groups(names: DataFrame, share: float = 0.35, least: float = 0.78) ->
     """
     asked = names.select("scope", "name").filter(F.col("scope").isNotNull() & F.col("name").rlike(r"\p{L}")).distinct()
     held = cut(with_grams(asked, True))
-    w = common_token_weights(asked, True, 20_000)
+    w = cut(token_weights(asked, True))
     pairs = candidates(held, held, share, same=True).unionByName(person_candidates(asked)).distinct()
     links = cut(scored(cut(pairs), w, True).filter(F.col("likeness") >= least))
     short = cut(with_short_flag(asked))

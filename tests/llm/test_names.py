@@ -61,3 +61,20 @@ def test_person_candidates_miss_no_likely_pair(spark):
     got = {(r.a, r.b) for r in names.person_candidates(df).collect()}
     likely = {(a, b) for a, b in itertools.combinations(sorted(set(spelled)), 2) if names.person_likeness(a, b, {}) > 0}
     assert likely and likely <= got
+
+
+def test_every_token_has_its_weight(spark):
+    common = [(f"w{i} w{i + 1}",) for i in range(25_000)]
+    listed = spark.createDataFrame([*common, ("w0 rareone",)], "name string")
+    got = {r.token: r.weight for r in names.token_weights(listed, False).collect()}
+    assert len(got) == 25_002 and max(got, key=got.get) in ("rareone", "w25000") and got["rareone"] > got["w1"]
+
+
+def test_scores_are_those_of_all_weights(spark):
+    spelled = ["Margaret Riovaß", "M. Riovaß", "Peggy Riovass", "Leonard Riovaß", "Bsetröm K.", "Kwame Beström"]
+    df = spark.createDataFrame([("s", n) for n in spelled], "scope string, name string")
+    w = names.token_weights(df, True)
+    table = {r.token: r.weight for r in w.collect()}
+    pairs = spark.createDataFrame([("s", a, b) for a, b in itertools.combinations(spelled, 2)], "scope string, a string, b string")
+    got = {(r.a, r.b): r.likeness for r in names.scored(pairs, w, True).collect()}
+    assert got == {(a, b): names.person_likeness(a, b, table) for a, b in itertools.combinations(spelled, 2)}
