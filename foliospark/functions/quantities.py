@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from decimal import Decimal
+from functools import lru_cache
 from typing import NamedTuple
 
 
 class Quantity(NamedTuple):
     number: Decimal  #: as written
-    factor: Decimal  #: what it is multiplied by to come to std_unit, for money before conversion to USD
-    std_unit: str
+    factor: Decimal | None  #: what it is multiplied by to come to std_unit, for money before conversion to USD
+    std_unit: str | None
     currency: str | None
 
 
@@ -103,31 +104,10 @@ def _unit(text: str) -> tuple[str | None, Decimal | None, str | None, Decimal |
     return None, None, None, scale
 
 
-def read_quantity(label: str | None, value: str | None, unit: str | None) -> Quantity | None:
-    """The single quantity that the three fields state, or None.
-
-    None for null, texts without a number, ranges, years, dates, and numbers whose unit nothing tells. What the value
-    says of scale or unit holds over the unit field, and that over the label. Approximation words, bounds and a plus
-    sign change nothing. A bare number under a label of counted people or things is a count.
-    """
-    v, u, head = fold(value), fold(unit), fold(label)
-    if not v or u.lower() in ("date", "year", "years"):
-        return None
-    v = re.sub(r"\((?:[^()]*)\)", " ", v).strip()
-    v = re.sub(r"\s+(?:in|en|im Jahr|as of|FY)\s*(?:19|20)\d\d$", "", v)
-    if _DATE.search(v) or _RANGE.search(v):
-        return None
-    found = list(_NUM.finditer(v))
-    if len(found) != 1:
-        return None
-    m = found[0]
-    pre, post = v[: m.start()], v[m.end() :]
-    if re.search(r"(?<!\w)-$", pre.rstrip()):
-        return None
-    if re.fullmatch(r"(?:19|20)\d\d", v) and re.search(r"founded|year|since|gegründet|成立", head, re.I):
-        return None
-    rest = f"{pre} {post}".strip()
-    std, f, cur, scale = _unit(rest)
+@lru_cache(100_000)
+def _meaning(head: str, pre: str, post: str, u: str) -> tuple[str | None, Decimal | None, str | None, bool]:
+    """(std_unit, factor, currency, whether a comma is decimal) that the words around a number state; None for what they don't."""
+    std, f, cur, scale = _unit(f"{pre} {post}".strip())
     letter = next((s for p, s in _LETTER_SCALE if p.search(post)), None)
     if letter is not None and std in (None, "USD", "count") and scale is None:
         scale = letter
@@ -144,19 +124,54 @@ def read_quantity(label: str | None, value: str | None, unit: str | None) -> Qua
                 scale = told_scale if told_scale is not None else lab_scale
             if std is None and _COUNTED.search(head):
                 std, f, cur = "count", Decimal(1), None
+    comma_decimal = bool(re.search(r"mio|mrd|milli|mill\.|^\s%", post, re.I))
     if std is None:
+        return None, None, None, comma_decimal
+    return std, f * (scale if scale is not None else Decimal(1)), cur, comma_decimal
+
+
+def read_number(label: str | None, value: str | None, unit: str | None) -> Quantity | None:
+    """The single number that a value states, with factor and std_unit None where nothing tells its unit; None for no single number.
+
+    None for null, texts without a number, ranges, years and dates. What the value says of scale or unit holds over
+    the unit field, and that over the label. Approximation words, bounds and a plus sign change nothing. A bare number
+    under a label of counted people or things is a count. What the words around a number mean is read once for all
+    numbers in the same words.
+    """
+    v, u, head = fold(value), fold(unit), fold(label)
+    if not v or u.lower() in ("date", "year", "years"):
         return None
-    comma_decimal = bool(re.search(r"mio|mrd|milli|mill\.|^\s%", post, re.I))
+    v = re.sub(r"\((?:[^()]*)\)", " ", v).strip()
+    v = re.sub(r"\s+(?:in|en|im Jahr|as of|FY)\s*(?:19|20)\d\d$", "", v)
+    if _DATE.search(v) or _RANGE.search(v):
+        return None
+    found = list(_NUM.finditer(v))
+    if len(found) != 1:
+        return None
+    m = found[0]
+    pre, post = v[: m.start()], v[m.end() :]
+    if re.search(r"(?<!\w)-$", pre.rstrip()):
+        return None
+    if re.fullmatch(r"(?:19|20)\d\d", v) and re.search(r"founded|year|since|gegründet|成立", head, re.I):
+        return None
+    std, f, cur, comma_decimal = _meaning(head, pre, post, u)
     try:
         n = number(m[0], comma_decimal)
     except ArithmeticError:
         return None
-    return Quantity(n, f * (scale if scale is not None else Decimal(1)), std, cur)
+    return Quantity(n, f, std, cur)
+
+
+def read_quantity(label: str | None, value: str | None, unit: str | None) -> Quantity | None:
+    """The single quantity that the three fields state (see ``read_number``), or None; None also for a number whose unit nothing tells."""
+    q = read_number(label, value, unit)
+    return None if q is None or q.factor is None else q
 
 
 _MONEY_NOTE = re.compile(r"amount|money|monetary|valuation|funding|dollar|betr[äa]g|montant|金额|key metrics|USD|EUR|€|\$", re.I)
 
 
+@lru_cache(10_000)
 def read_note(note: str | None) -> dict[str, tuple[Decimal, str | None]]:
     """What a note says of the units of a whole card: money, rate or count to (factor, currency); {} for nothing."""
     t = fold(note)

@@ -1,49 +1,111 @@
 """One measured quantity recorded in different units over time: level shifts and the factors that explain them.
 
 Each source history is cut into segments of constant level by exact penalised changepoint search on the logarithm of
-the recorded number (optimal partitioning with pruning, squared error). Where neighbouring levels differ by the
-logarithm of a known factor, the recorded unit changed there. A unit that a text states holds; a number without one
-takes the factor that brings its segment to the level of the stated segments beside it.
+the recorded number (optimal partitioning with pruning, squared error). A unit that a text states is an anchor: no
+segment may hold two different ones, and every number takes the unit of its segment. Where neighbouring levels differ
+by the logarithm of a known factor, the recorded unit changed there, so a segment without an anchor takes the factor
+of the nearest anchored one, changed by the known factors of the shifts between.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
-from decimal import Decimal
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BLOCK = 4096
+from foliospark.tables import cut
+
 #: fixed values: ratios of units that are mistaken for each other
 KNOWN_FACTORS = (10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e7, 1e8, 1e9, 1e12)
+#: points after which the search looks for segments that are settled, so that it holds no more than it needs
+SETTLE_EVERY = 2048
+TEXTS = ("field", "number", "factor", "std_unit", "currency", "assumed")
 
 
-def changepoints(y: Sequence[float], penalty: float) -> list[int]:
-    """Starts of the segments (the first is 0) with the least sum of squared errors plus ``penalty`` a segment.
+class Search:
+    """Exact penalised changepoint search over a stream of points of one history.
 
-    Exact: a start is dropped from the search only when it can never be the best again.
+    The best cost of every prefix is known; a start is dropped from the search when it can never be the best again,
+    or when a segment from it would hold two different anchors. What all live starts have in common is final, and
+    ``settled`` hands it out, so memory follows the live starts and not the history.
     """
-    n = len(y)
-    s, q = [0.0] * (n + 1), [0.0] * (n + 1)
-    for i, v in enumerate(y):
-        s[i + 1], q[i + 1] = s[i] + v, q[i] + v * v
-    best, back = [-penalty] + [0.0] * n, [0] * (n + 1)
-    live = [0]
-    for t in range(1, n + 1):
-        costs = [best[j] + max(0.0, q[t] - q[j] - (s[t] - s[j]) ** 2 / (t - j)) for j in live]
-        k = min(range(len(live)), key=costs.__getitem__)
-        best[t], back[t] = costs[k] + penalty, live[k]
-        live = [j for j, c in zip(live, costs) if c <= best[t]] + [t]
-    out, t = [], n
-    while t > 0:
-        t = back[t]
-        out.append(t)
-    return out[::-1]
+
+    def __init__(self, penalty: float):
+        self.penalty = penalty
+        self.origin = 0  # points handed out before those held
+        self.s, self.q, self.best, self.back, self.units = [0.0], [0.0], [-penalty], [0], []
+        self.live = [0]
+        self.anchor = None  # the last anchor
+
+    def push(self, y: float, unit) -> None:
+        t = len(self.units) + 1
+        if unit is not None:
+            if self.anchor is not None and self.anchor[1] != unit:
+                self.live = [j for j in self.live if j > self.anchor[0]]
+            self.anchor = (t - 1, unit)
+        self.units.append(unit)
+        s, q, best, live = self.s, self.q, self.best, self.live
+        st, qt = s[-1] + y, q[-1] + y * y
+        s.append(st)
+        q.append(qt)
+        costs = [best[j] + max(0.0, qt - q[j] - (st - s[j]) ** 2 / (t - j)) for j in live]
+        least = min(costs)
+        self.back.append(live[costs.index(least)])
+        best.append(least + self.penalty)
+        self.live = [j for j, c in zip(live, costs) if c <= least + self.penalty] + [t]
+
+    def _segment(self, a: int, b: int) -> tuple[int, int, float, object]:
+        said = next((u for u in self.units[a:b] if u is not None), None)
+        return self.origin + a, self.origin + b, (self.s[b] - self.s[a]) / (b - a), said
+
+    def _chain(self, t: int) -> list[tuple[int, int, float, object]]:
+        out = []
+        while t > 0:
+            out.append(self._segment(self.back[t], t))
+            t = self.back[t]
+        return out[::-1]
+
+    def settled(self) -> list[tuple[int, int, float, object]]:
+        """(start, end, level, anchor) of the segments that no later point can change; they are forgotten here."""
+        starts = set(self.live)
+        while len(starts) > 1:
+            t = max(starts)
+            starts.remove(t)
+            starts.add(self.back[t])
+        c = starts.pop()
+        out = self._chain(c)
+        if c:
+            s0, q0 = self.s[c], self.q[c]
+            self.s, self.q = [x - s0 for x in self.s[c:]], [x - q0 for x in self.q[c:]]
+            self.best, self.back, self.units = self.best[c:], [max(0, x - c) for x in self.back[c:]], self.units[c:]
+            self.live = [j - c for j in self.live]
+            self.anchor = self.anchor and (self.anchor[0] - c, self.anchor[1])
+            self.origin += c
+        return out
+
+    def rest(self) -> list[tuple[int, int, float, object]]:
+        return self._chain(len(self.units))
+
+
+def segments(y: Sequence[float], anchors: Sequence, penalty: float) -> list[tuple[int, int, float, object]]:
+    """(start, end, level, anchor or None) of the segments with the least sum of squared errors plus ``penalty`` each, none with two anchors."""
+    search, out = Search(penalty), []
+    for i, (v, u) in enumerate(zip(y, anchors), 1):
+        search.push(v, u)
+        if i % SETTLE_EVERY == 0:
+            out += search.settled()
+    return out + search.rest()
+
+
+def changepoints(y: Sequence[float], penalty: float) -> list[int]:
+    """Starts of the segments (the first is 0) of a history without anchors."""
+    return [a for a, *_ in segments(y, [None] * len(y), penalty)]
 
 
 def matching_factor(shift: float, known: Sequence[float], slack: float) -> float | None:
@@ -52,112 +114,164 @@ def matching_factor(shift: float, known: Sequence[float], slack: float) -> float
     return None if abs(abs(shift) - math.log10(k)) > slack else (k if shift > 0 else 1 / k)
 
 
-def segments(y: Sequence[float], stated: Sequence[float | None], penalty: float) -> list[tuple[int, int, float, float | None]]:
-    """(start, end, level, median of the stated or None) of each segment of one block in order."""
-    starts = changepoints(y, penalty) if y else []
-    out = []
-    for a, b in zip(starts, [*starts[1:], len(y)]):
-        have = sorted(x for x in stated[a:b] if x is not None)
-        out.append((a, b, sum(y[a:b]) / (b - a), have[len(have) // 2] if have else None))
-    return out
-
+def points(df: DataFrame, carried: Sequence[str], needed: Sequence[str], statements: Callable) -> DataFrame:
+    """Rows (carried, field, number, factor, std_unit, currency, assumed, y): the quantities that the rows of ``df`` state.
 
-def settle(y: Sequence[float], stated: Sequence[float | None], penalty: float, known: Sequence[float], slack: float, level: float | None = None):
-    """For one history held in memory, which ``unit_histories`` does over many blocks, in order: segment number, shift at its start, and the factor for each point without a stated one.
-
-    ``y`` are logarithms of numbers as recorded, ``stated`` the logarithm of the factor that a text states. ``level``
-    is the last level of the block before. The factor of an unstated point is that of the nearest segment with stated
-    ones, changed by the known factors of the shifts between.
-    """
-    found = segments(y, stated, penalty)
-    starts, ends, levels, told = ([s[k] for s in found] for k in range(4))
-    shifts, prior = [], level
-    for lv in levels:
-        shifts.append(None if prior is None else matching_factor(lv - prior, known, slack))
-        prior = lv
-    for order in (range(1, len(told)), range(len(told) - 2, -1, -1)):
-        for i in order:
-            j = i - 1 if order.step > 0 else i + 1
-            if told[i] is None and told[j] is not None:
-                f = shifts[max(i, j)]
-                step = math.log10(f) if f else 0.0
-                told[i] = told[j] - step if order.step > 0 else told[j] + step
-    seg, shift, fill = [], [], []
-    for k, (a, b) in enumerate(zip(starts, ends)):
-        for i in range(a, b):
-            seg.append(k)
-            shift.append(shifts[k] if i == a else None)
-            fill.append(told[k])
-    return seg, shift, fill, (levels[-1] if levels else level)
-
-
-def unit_histories(
-    df: DataFrame, series: Sequence[str], order: Sequence[str], statements: Callable, carried: Sequence[str], penalty: float = 0.05, known: Sequence[float] = KNOWN_FACTORS, slack: float = 0.08
-) -> DataFrame:
-    """The stated quantities of ``df`` with their source history's segments.
-
-    ``statements(row)`` gets a dict of a row and yields (field, number, factor or None, std_unit, currency) for each
-    quantity that it states. Output: ``carried``, field, number, factor, std_unit, currency (factor and numbers as
-    decimal texts), stated, segment, shift (the known factor by which the level changed at this row, else null).
-    A history is the rows of one series, field and std_unit in the order of ``order``, equal ones by number; zero and
-    negative numbers have no logarithm and pass by it. Blocks of 4,096 points are cut by the row number inside the
-    history, so no border depends on partitions; they are searched apart, a large history's by many tasks. Shifts,
-    segment numbers and the factors of unstated points then run along the whole history, over block borders too: one
-    task's sort, which spills, sees a history. Null series and orders sort first. Nothing is dropped.
+    ``statements`` gets a list of values for each of ``needed`` and yields (row, field, number, factor, std_unit,
+    currency, assumed): ``factor`` is None where no text states the unit, ``assumed`` the factor to take then if the
+    history tells none either. ``y`` is the decimal logarithm of the number, null where it has none.
     """
     names = [f"c{i}" for i in range(len(carried))]
-    src = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.struct(*[F.col(f"`{c}`") for c in series]).alias("series"), F.struct(*[F.col(f"`{c}`") for c in order]).alias("at"), F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias("row"))
-    texts = ("field", "number", "factor", "std_unit", "currency")
-    points = T.StructType([src.schema[n] for n in (*names, "series", "at")] + [T.StructField(t, T.StringType()) for t in texts])
-    marked = T.StructType([*points, T.StructField("rn", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("level", T.DoubleType()), T.StructField("told", T.DoubleType())])
+    src = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], *[F.col(c).alias(f"n{i}") for i, c in enumerate(needed)])
+    out = T.StructType([src.schema[n] for n in names] + [T.StructField(t, T.StringType()) for t in TEXTS] + [T.StructField("y", T.DoubleType())])
 
-    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, said = [], []
-            for i, row in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                for field, n, f, unit, cur in statements(row):
-                    at.append(i)
-                    said.append((field, str(n), None if f is None else str(f), unit, cur))
-            kept = b.take(pa.array(at, pa.int64())).columns[:-1]
-            said = [pa.array(c, pa.string()) for c in zip(*said)] if said else [pa.array([], pa.string()) for _ in texts]
-            yield pa.RecordBatch.from_arrays([*kept, *said], names=points.names)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def marks(b):
-            first = [i for i, r in enumerate(b.column("rn").to_pylist()) if (r - 1) % BLOCK == 0]
-            number, factor = [Decimal(x) for x in b.column("number").to_pylist()], b.column("factor").to_pylist()
-            start, level, told = [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
-            for lo, hi in zip(first, [*first[1:], b.num_rows]):
-                live = [i for i in range(lo, hi) if number[i] > 0]
-                stated = [None if factor[i] is None else float(Decimal(factor[i]).log10()) for i in live]
-                for s, e, lv, tl in segments([float(number[i].log10()) for i in live], stated, penalty):
-                    for i in live[s:e]:
-                        start[i], level[i], told[i] = int(i == live[s]), lv, tl
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array(start, pa.int32()), pa.array(level, pa.float64()), pa.array(told, pa.float64())], names=marked.names)
-
-        rest = None
+            rows = list(statements(*(b.column(len(names) + i).to_pylist() for i in range(len(needed)))))
+            at, *said = zip(*rows) if rows else [()] * 7
+            y = []
+            for n in said[1]:
+                v = float(n)
+                y.append(math.log10(v) if 0 < v < math.inf else None)
+            kept = [b.column(i).take(pa.array(at, pa.int64())) for i in range(len(names))]
+            texts = [pa.array([None if v is None else str(v) for v in c], pa.string()) for c in said]
+            yield pa.RecordBatch.from_arrays([*kept, *texts, pa.array(y, pa.float64())], names=out.names)
+
+    return src.mapInArrow(run, out).withColumnsRenamed(dict(zip(names, carried)))
+
+
+def _borders(far: float) -> Callable:
+    """Marks, in rows sorted by history, those before which a border is certain; ``back`` counts the rows since the last one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen, opened = None, 0, None
         for b in batches:
-            b = b if rest is None else pa.concat_batches([rest, b])
-            last = max((i for i, r in enumerate(b.column("rn").to_pylist()) if (r - 1) % BLOCK == 0), default=0)
-            if last:
-                yield marks(b.slice(0, last))
-            rest = b.slice(last)
-        if rest is not None and rest.num_rows:
-            yield marks(rest)
-
-    key = ["series", "field", "std_unit"]
-    numbered = src.mapInArrow(state, points).withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("at", "number", "factor", "currency", *[n for n in names if not src.schema[n].dataType.typeName().startswith(("map", "variant"))])))
-    blocks = numbered.repartition(*key, F.expr(f"(rn - 1) div {BLOCK}")).sortWithinPartitions(*key, "rn")
-    along = Window.partitionBy(*key).orderBy("rn")
-    before, whole = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    change = F.col("level") - F.last("level", True).over(before)
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.abs("change") - F.lit(math.log10(k))).alias("off"), F.lit(float(k)).alias("k")) for k in known]))
-    shift = F.when((F.col("start") == 1) & (F.col("nearest.off") <= slack), F.when(F.col("change") > 0, F.col("nearest.k")).otherwise(1 / F.col("nearest.k")))
-    out = blocks.mapInArrow(search, marked).withColumn("change", change).withColumn("nearest", F.when(F.col("change").isNotNull(), nearest)).withColumn("shift", shift)
-    out = out.withColumn("steps", F.sum(F.coalesce(F.log10("shift"), F.lit(0.0))).over(so_far)).withColumn("base", F.col("told") + F.col("steps"))
-    # told + steps stays the same along a history as long as only known factors change its level
-    fill = F.coalesce(F.last("base", True).over(so_far), F.first("base", True).over(whole)) - F.col("steps")
-    out = out.withColumn("fill", F.when(F.col("level").isNotNull(), F.format_string("%.11e", F.pow(F.lit(10.0), fill))))
-    out = out.withColumn("segment", F.when(F.col("level").isNotNull(), F.sum(F.coalesce("start", F.lit(0))).over(so_far) - 1).cast("int"))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carried)], "field", "number", F.coalesce("factor", F.when(F.col("fill") != "null", F.col("fill"))).alias("factor"), "std_unit", "currency", F.col("factor").isNotNull().alias("stated"), "segment", "shift")
+            if not b.num_rows:
+                continue
+            hist, y = b.column("hist").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False)
+            unit, told = b.column("unit").fill_null(0).to_numpy(zero_copy_only=False), b.column("unit").is_valid().to_numpy(zero_copy_only=False)
+            first = last is None
+            if first:
+                last = (hist[0], y[0], unit[0], told[0])
+            h, v, u, t = (np.concatenate([[x], a[:-1]]) for x, a in zip(last, (hist, y, unit, told)))
+            certain = (h != hist) | (np.abs(v - y) > far) | (t & told & (u != unit))
+            at = np.where(certain, np.arange(b.num_rows) + seen, -1 if opened is None else opened)
+            at = np.maximum.accumulate(at)
+            back = pa.array(np.arange(b.num_rows) + seen - at, pa.int64(), mask=at < 0)
+            last, opened, seen = (hist[-1], y[-1], unit[-1], told[-1]), (None if at[-1] < 0 else int(at[-1])), seen + b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, back], names=[*b.schema.names, "back"])
+
+    return run
+
+
+def _search(penalty: float) -> Callable:
+    """Reads rows sorted by (stretch, rid) and adds ``seg`` (rid of the segment's first row), ``level`` and the row of its anchor's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rids: list[int] = []  # of the held rows
+        done: list[tuple[int, float, int | None]] = []  # of those, the settled ones' marks
+        begin, now, search = 0, None, None  # where the current stretch begins among the held rows
+
+        def settle(found):
+            for a, b, level, anchor in found:
+                done.extend([(rids[begin + a], level, anchor)] * (b - a))
+
+        def emit():
+            nonlocal held, rids, done, begin
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            k = len(done)
+            seg, level, anchor = zip(*done)
+            out = pa.RecordBatch.from_arrays([*table.slice(0, k).columns, pa.array(seg, pa.int64()), pa.array(level, pa.float64()), pa.array(anchor, pa.int64())], names=[*table.schema.names, "seg", "level", "anchor"])
+            held, rids, done, begin = ([table.slice(k)] if k < table.num_rows else []), rids[k:], [], begin - k
+            return out
+
+        for b in batches:
+            held.append(b)
+            new = b.column("rid").to_pylist()
+            at = len(rids)
+            rids += new
+            for i, (stretch, y, unit) in enumerate(zip(b.column("stretch").to_pylist(), b.column("y").to_pylist(), b.column("unit").to_pylist())):
+                if stretch != now:
+                    if search is not None:
+                        settle(search.rest())
+                    begin, now, search = at + i, stretch, Search(penalty)
+                search.push(y, unit)
+                if len(search.units) % SETTLE_EVERY == 0:
+                    settle(search.settled())
+            if done:
+                yield emit()
+        if search is not None:
+            settle(search.rest())
+        if done:
+            yield emit()
+
+    return run
+
+
+def unit_histories(df: DataFrame, series: Sequence[str], order: Sequence[str], carried: Sequence[str], penalty: float = 0.05, known: Mapping[str, Sequence[float]] | None = None, slack: float = 0.08) -> DataFrame:
+    """The points of ``df`` (see ``points``) with the units that their histories give them; nothing is dropped.
+
+    Output: ``carried``, field, number, factor, std_unit, currency, stated (a text states the unit), segment, and shift
+    (the known factor by which the level changed at this row, else null). A history is the rows of one series and
+    field in the order of ``order``; equal ones go by number, factor, currency and the carried columns. Numbers
+    without a logarithm (zero, negative) pass by the search, with no segment and the factor stated or assumed. Null
+    series and orders sort first. An empty table gives no rows. ``known`` names the factors of a field where only these
+    can be meant; any other field has ``KNOWN_FACTORS``.
+
+    The search is exact for any length and its rows don't depend on partitions. Rows are range-partitioned, so a long
+    history lies in many tasks. Two neighbours that differ by more than sqrt(8 penalty) can't share a segment (setting
+    the farther one apart would save more than two penalties), nor can two with different anchors: these certain borders
+    cut a history into stretches that are searched apart, in a stream that holds no more than what isn't settled. The
+    borders of the tasks themselves are joined by one row a task. Shifts and fills then run over one row a segment.
+    """
+    names, sn, on = [f"c{i}" for i in range(len(carried))], [f"s{i}" for i in range(len(series))], [f"o{i}" for i in range(len(order))]
+    src = cut(df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([*carried, *series, *order], [*names, *sn, *on])], *TEXTS, "y"))
+    far, head = math.sqrt(8 * penalty) * (1 + 1e-9), [*sn, "field"]
+    unit = F.when(F.col("factor").isNotNull(), F.xxhash64("factor", "std_unit", "currency"))
+    sortable = [n for n in names if not src.schema[n].dataType.typeName().startswith(("map", "variant"))]
+    live = src.filter("y is not null").withColumn("hist", F.xxhash64(*head)).withColumn("unit", unit)
+    by = [*head, *on, "number", "factor", "currency", *sortable]
+    ranged = live.repartitionByRange(*by).sortWithinPartitions(*by)
+    swept = T.StructType([*ranged.schema.fields, T.StructField("back", T.LongType())])
+    # rid follows the sorted order over all tasks; what is above its 33rd bit is the task
+    numbered = cut(ranged.mapInArrow(_borders(far), swept).withColumn("rid", F.monotonically_increasing_id()))
+    task = F.shiftright("rid", 33)
+    edge = F.struct("hist", "y", "unit")
+    opened = F.max(F.when(F.col("back").isNotNull(), F.col("rid") - F.col("back"))).alias("opened")
+    ends = numbered.groupBy(task.alias("task")).agg(F.min("rid").alias("first"), F.min_by(edge, "rid").alias("a"), F.max_by(edge, "rid").alias("z"), opened)
+    tasks = Window.orderBy("task")  # one row a task
+    certain = "p is null or p.hist <> a.hist or abs(p.y - a.y) > {} or coalesce(p.unit <> a.unit, false)".format(far)
+    ends = ends.withColumn("p", F.lag("z").over(tasks)).withColumn("starts", F.expr(certain))
+    before = F.max(F.greatest("opened", F.when(F.col("starts"), F.col("first")))).over(tasks.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("goes_on", before).select("task", F.when(F.col("starts"), F.col("first")).otherwise(F.col("goes_on")).alias("start"))
+    stretch = F.when(F.col("back").isNotNull(), F.col("rid") - F.col("back")).otherwise(F.col("start"))
+    joined = numbered.withColumn("task", task).join(F.broadcast(ends), "task").withColumn("stretch", stretch).drop("task", "start", "back")
+    stretches = joined.repartition("stretch").sortWithinPartitions("stretch", "rid")
+    marked = cut(stretches.mapInArrow(_search(penalty), T.StructType([*joined.schema.fields, T.StructField("seg", T.LongType()), T.StructField("level", T.DoubleType()), T.StructField("anchor", T.LongType())])))
+
+    anchor = F.struct("factor", "std_unit", "currency")
+    segs = marked.groupBy("seg").agg(F.first("hist").alias("hist"), F.first("field").alias("field"), F.first("level").alias("level"), F.max(F.when(F.col("factor").isNotNull(), anchor)).alias("told"))
+    along = Window.partitionBy("hist").orderBy("seg")
+    so_far, whole = along.rowsBetween(Window.unboundedPreceding, Window.currentRow), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    change = F.col("level") - F.lag("level").over(along)
+    close = lambda ks: F.array_min(F.array(*[F.struct(F.abs(F.abs("change") - F.lit(math.log10(k))).alias("off"), F.lit(float(k)).alias("k")) for k in ks]))
+    nearest = close(KNOWN_FACTORS)
+    for name, factors in (known or {}).items():
+        nearest = F.when(F.col("field") == name, close(factors)).otherwise(nearest)
+    shift = F.when(F.col("nearest.off") <= slack, F.when(F.col("change") > 0, F.col("nearest.k")).otherwise(1 / F.col("nearest.k")))
+    segs = segs.withColumn("change", change).withColumn("nearest", F.when(F.col("change").isNotNull(), nearest)).withColumn("shift", shift)
+    segs = segs.withColumn("steps", F.sum(F.coalesce(F.log10("shift"), F.lit(0.0))).over(so_far)).withColumn("number_of", F.row_number().over(along) - 1)
+    # an anchor's factor and the steps up to it, in sum, stay the same along a history while only known factors change its level
+    segs = segs.withColumn("base", F.when(F.col("told").isNotNull(), F.struct((F.log10(F.col("told.factor").cast("double")) + F.col("steps")).alias("at"), "told.std_unit", "told.currency")))
+    segs = segs.withColumn("base", F.coalesce(F.last("base", True).over(so_far), F.first("base", True).over(whole)))
+    fill = F.format_string("%.11e", F.pow(F.lit(10.0), F.col("base.at") - F.col("steps")))
+    told = F.coalesce("told", F.when(F.col("base").isNotNull(), F.struct(fill.alias("factor"), "base.std_unit", "base.currency")))
+    segs = segs.select("seg", told.alias("told"), "shift", F.col("number_of").alias("segment"))
+    own = [F.col(n).alias(c) for n, c in zip(names, carried)] + ["field", "number"]
+    found = marked.join(segs, "seg").select(
+        *own, F.coalesce("told.factor", "assumed").alias("factor"), F.coalesce("told.std_unit", "std_unit").alias("std_unit"), F.when(F.col("told").isNotNull(), F.col("told.currency")).otherwise(F.col("currency")).alias("currency"),
+        F.col("factor").isNotNull().alias("stated"), F.col("segment").cast("int").alias("segment"), F.when(F.col("rid") == F.col("seg"), F.col("shift")).alias("shift"),
+    )
+    past = src.filter("y is null").select(*own, F.coalesce("factor", "assumed").alias("factor"), "std_unit", "currency", F.col("factor").isNotNull().alias("stated"), F.lit(None).cast("int").alias("segment"), F.lit(None).cast("double").alias("shift"))
+    return found.unionByName(past)

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.quantities import read_note, read_quantity
+from foliospark.functions.quantities import read_note, read_number
 from foliospark.operators import units
 from foliospark.tables import last_delivery, read
 
@@ -17,49 +17,59 @@ METRIC_KINDS = {
     "revenue_growth_yoy_pct": "rate", "gross_margin_pct": "rate", "nrr_pct": "rate", "customer_count": "count", "headcount": "count",
 }
 _DEFAULT = {"money": (Decimal(10**6), "USD"), "rate": (Decimal(100), None), "count": (Decimal(1), None)}
+# By what a card's recorded numbers can differ from those in the units of their names.
+_NOTED = {"money": (1e3, 1e6), "rate": (1e2,), "count": (1e3,)}
 _STD = {"money": "USD", "rate": "bp", "count": "count"}
 
 
-def fact_statement(row: dict):
-    q = read_quantity(row["fact_label"], row["fact_value"], row["fact_unit"])
-    if q is not None:
-        yield "fact_value", q.number, q.factor, q.std_unit, q.currency
+def fact_statements(labels, values, units_):
+    for i, fields in enumerate(zip(labels, values, units_)):
+        q = read_number(*fields)
+        if q is not None:
+            yield i, "fact_value", q.number, q.factor, q.std_unit, q.currency, None
 
 
-def card_statements(row: dict):
-    said = read_note(row["coverage_notes"])
-    for name, kind in METRIC_KINDS.items():
-        v = row["key_metrics"][name] if row["key_metrics"] else None
-        if v is not None and v == v and abs(v) != float("inf"):
-            factor, cur = said.get(kind, _DEFAULT[kind])
-            yield name, Decimal(repr(v)), factor, _STD[kind], cur
+def card_statements(notes, *columns):
+    """A card without a note has the units of its metrics' names, one with a note that is read those of the note; where a note isn't understood the history decides, and the names only if it can't."""
+    for i, (note, *metrics) in enumerate(zip(notes, *columns)):
+        said = read_note(note)
+        told = bool(said) or not (note or "").strip()
+        for (name, kind), v in zip(METRIC_KINDS.items(), metrics):
+            if v is not None and v == v and abs(v) != float("inf"):
+                factor, cur = said.get(kind, _DEFAULT[kind])
+                yield i, name, Decimal(repr(v)), factor if told else None, _STD[kind], cur, factor
 
 
-def fact_histories(spark: SparkSession, d: str) -> DataFrame:
+_CARRIED = ["rec_table", "key", "run_id", "slug", "topic"]
+
+
+def fact_points(spark: SparkSession, d: str) -> DataFrame:
     facts = last_delivery(read(spark, d, "cover_fact").select("fact_id", "run_id", "fact_label", "fact_value", "fact_unit", "ingested_at"), ["fact_id"])
-    facts = facts.withColumn("slug", F.substring("run_id", 16, 1000)).withColumn("topic", F.regexp_replace("fact_label", r"\s*(?:\([^()]*\)|\sin\s.*)\z", "")).withColumn("key", F.col("fact_id").cast("string"))
-    return units.unit_histories(facts.drop("ingested_at"), ["slug", "topic"], ["run_id", "fact_id"], fact_statement, ["key", "run_id", "slug"])
+    topic = F.regexp_replace("fact_label", r"\s*(?:\([^()]*\)|\sin\s.*)\z", "")
+    facts = facts.withColumns({"rec_table": F.lit("cover_fact"), "slug": F.substring("run_id", 16, 1000), "topic": topic, "key": F.col("fact_id").cast("string")})
+    return units.points(facts, _CARRIED, ["fact_label", "fact_value", "fact_unit"], fact_statements)
 
 
-def card_histories(spark: SparkSession, d: str) -> DataFrame:
+def card_points(spark: SparkSession, d: str) -> DataFrame:
     cards = last_delivery(read(spark, d, "report_card").select("run_id", "key_metrics", "coverage_notes", "ingested_at"), ["run_id"])
-    cards = cards.withColumn("slug", F.substring("run_id", 16, 1000)).withColumn("key", F.col("run_id"))
-    return units.unit_histories(cards.drop("ingested_at"), ["slug"], ["run_id"], card_statements, ["key", "run_id", "slug"])
+    cards = cards.withColumns({"rec_table": F.lit("report_card"), "slug": F.substring("run_id", 16, 1000), "topic": F.lit(""), "key": F.col("run_id")})
+    return units.points(cards, _CARRIED, ["coverage_notes", *[f"key_metrics.{m}" for m in METRIC_KINDS]], card_statements)
 
 
 def in_common_units(spark: SparkSession, d: str) -> DataFrame:
     """All stated quantities: rec_table, rec_key, field, std_unit, std_value, and what the history says of each."""
-    both = fact_histories(spark, d).withColumn("rec_table", F.lit("cover_fact")).unionByName(card_histories(spark, d).withColumn("rec_table", F.lit("report_card")))
+    every = fact_points(spark, d).unionByName(card_points(spark, d))
+    both = units.unit_histories(every, ["rec_table", "slug", "topic"], ["run_id", "key"], ["rec_table", "key", "run_id", "slug"], known={m: _NOTED[k] for m, k in METRIC_KINDS.items()})
     rates = read(spark, d, "fx_rate").select(F.col("currency_code").alias("currency"), F.col("rate_year").cast("string").alias("year"), F.col("usd_per_unit").cast("decimal(14,9)").alias("rate"))
     known = both.withColumn("year", F.substring("run_id", 1, 4)).join(F.broadcast(rates), ["currency", "year"], "left")
-    amount = F.expr("cast(cast(number as decimal(28,9)) * cast(factor as decimal(24,10)) as decimal(28,9))")
+    amount = F.expr("try_cast(try_cast(number as decimal(28,9)) * try_cast(factor as decimal(24,10)) as decimal(28,9))")
     value = F.round(amount * F.when(F.col("currency").isNull(), F.lit(1).cast("decimal(14,9)")).otherwise(F.col("rate")), 0)
-    return known.select("rec_table", F.col("key").alias("rec_key"), "field", "std_unit", value.cast("bigint").alias("std_value"), "slug", "run_id", "currency", "stated", "segment", "shift")
+    return known.select("rec_table", F.col("key").alias("rec_key"), "field", "std_unit", value.try_cast("bigint").alias("std_value"), "slug", "run_id", "currency", "stated", "segment", "shift")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities whose unit a text or a metric's name states: TESTDATA counts no others as cases."""
-    return in_common_units(spark, d).filter("stated and std_value is not null").select("rec_table", "rec_key", "field", "std_unit", "std_value")
+    """Every quantity in its segment's unit. TESTDATA counts facts only where a text states the unit, and cards always."""
+    return in_common_units(spark, d).filter("(stated or rec_table = 'report_card') and std_value is not null").select("rec_table", "rec_key", "field", "std_unit", "std_value")
 
 
 def p1_unit_changes(spark: SparkSession, d: str) -> DataFrame:

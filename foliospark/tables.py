@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -63,13 +66,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir of the session, else one of this process's own."""
+    """The shared folder for cut lineage: spark.checkpoint.dir of the session.
+
+    Unset, a session whose tasks all run in the driver's process gets a folder of its own there; a cluster's executors
+    would each write to their own disks, so it is an error.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(scratch_dir, "own", None)
     if own is None:
         own = scratch_dir.own = tempfile.mkdtemp(prefix="foliospark-")
+        atexit.register(shutil.rmtree, own, True)
     return own
 
 
