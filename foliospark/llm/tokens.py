@@ -1,20 +1,21 @@
 """Encoding a corpus with a public byte-level BPE tokenizer, each shared chunk once.
 
-Texts are cut where a rolling hash of the last 16 characters has its low bits zero, so equal passages give equal chunks
-wherever they stand. Each distinct chunk is encoded once. A cut may fall inside a pre-token, so every join is repaired:
-the text from the last certain pre-token of the left side is encoded again together with more and more of the right
-chunk, until a pre-token starts where one starts in the right chunk's own encoding. From there on both encodings read
-the same text from the same start and agree to the end.
+Texts are cut where a rolling hash of the last 8 characters has its low bits zero, so equal passages give equal chunks
+wherever they stand. A chunk that occurs more than once is encoded once, by the first document that has it, and its ids
+go to all others; text that no other document shares is encoded where it lies. A cut may fall inside a pre-token, so
+every join is repaired: the text from the last certain pre-token border on its left to the first one on its right is
+encoded again, and there it agrees with the encodings of both sides, since no merge reaches over a pre-token border.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,94 +23,139 @@ from foliospark.tables import cut, spread
 
 TOKENIZERS = "/opt/tokenizers"
 #: fixed value: how this vocabulary's encoder splits text before merging
-PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-WINDOW, LEAST, MOST, MASK = 16, 128, 4096, (1 << 9) - 1
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WINDOW, LEAST, MOST, MASK = 8, 32, 4096, (1 << 6) - 1
+#: characters hashed at once; a longer text is hashed alone
+HASHED = 1_000_000
+#: borders that every pre-tokenizing with PATTERN has, whatever stands around: white space after anything else, and a mark after a letter or number
+_CERTAIN = re.compile(r"(?<=\S)[ \n]|(?<=[^\W_])[.,;:!?()\[\]\"“”„«»。，、；：！？（）「」『』《》।؟،]")
+#: the fast encoder's splitter can't backtrack over white space without end
+_LONG_SPACE = re.compile(r"\s{20000}")
+_BASE = 0x9E3779B97F4A7C15
 _loaded: dict = {}
 
 
-def tokenizer(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.json"):
-    """The tokenizer of a vocabulary file, loaded once per process; texts like its special tokens are plain text."""
+def tokenizer(folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
+    """The encoding of a vocabulary, text to ids, loaded once per process; texts like its special tokens are plain text."""
     key = f"{folder}/{name}"
     if key not in _loaded:
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        t = Tokenizer.from_file(key)
-        t.encode_special_tokens = True
-        _loaded[key] = t
+        with open(f"{key}.tiktoken", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+        def encode(text: str) -> list[int]:
+            if len(text) >= 20_000 and _LONG_SPACE.search(text):
+                return _other(key)(text)
+            return fast(text)
+
+        _loaded[key] = encode
     return _loaded[key]
 
 
-def chunk_ends(text: str) -> list[int]:
-    """Ends of the content-defined chunks of a text, the last one its length; none for an empty text.
+def _other(key: str) -> Callable[[str], list[int]]:
+    """The same vocabulary in an encoder that is slower and takes any white space."""
+    name = f"{key}.json"
+    if name not in _loaded:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(name)
+        t.encode_special_tokens = True
+        _loaded[name] = lambda text: t.encode(text, add_special_tokens=False).ids
+    return _loaded[name]
 
-    Chunks have at least 128 characters, except the last, and at most 4,096; the mean is about 640.
-    """
-    n = len(text)
-    if n <= LEAST + WINDOW:
-        return [n] if n else []
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+def _hash_cuts(text: str) -> np.ndarray:
+    """Positions after those windows of a text whose hash has its low bits zero."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < WINDOW:
+        return np.empty(0, np.int64)
     with np.errstate(over="ignore"):
-        h = np.zeros(n - WINDOW + 1, np.uint64)
-        for j in range(WINDOW):
-            h = h * _BASE + codes[j : j + n - WINDOW + 1]
+        h, width, base = codes, 1, np.uint64(_BASE)
+        while width < WINDOW:  # two windows side by side are one of twice the width
+            h = h[:-width] * base + h[width:]
+            width, base = width * 2, base * base
         h ^= h >> np.uint64(29)
-        h *= _BASE
+        h *= np.uint64(_BASE)
         h ^= h >> np.uint64(32)
-    cuts = np.flatnonzero((h & np.uint64(MASK)) == 0) + WINDOW
+    return np.flatnonzero((h & np.uint64(MASK)) == 0) + WINDOW
+
+
+def _ends(n: int, cuts: Sequence[int]) -> list[int]:
     out, at = [], 0
-    for c in cuts.tolist():
+    for c in cuts:
         while c - at > MOST:
             at += MOST
             out.append(at)
-        if c - at >= LEAST and n - c >= 1:
+        if c - at >= LEAST and c < n:
             out.append(c)
             at = c
     while n - at > MOST:
         at += MOST
         out.append(at)
-    out.append(n)
+    if n:
+        out.append(n)
     return out
 
 
-def starts_and_first_tokens(text: str, words: list) -> tuple[list[int], list[int]]:
-    """For each pre-token of an encoded text: its first character and its first token."""
-    w = np.asarray(words)
-    return [m.start() for m in PRETOKEN.finditer(text)], (np.flatnonzero(np.diff(w, prepend=-1)) if len(w) else w).tolist()
+def chunk_ends(texts: Sequence[str]) -> list[list[int]]:
+    """For each text the ends of its content-defined chunks, the last one its length; none for an empty text.
 
+    Chunks have at least 32 characters, except the last, and at most 4,096; the mean is about 96. Texts are hashed
+    many at a time; a window that reaches over the start of its text is no cut of it.
+    """
+    out: list[list[int]] = []
+    held: list[str] = []
+
+    def flush():
+        cuts, start = _hash_cuts("".join(held)), 0
+        stops = np.cumsum([len(t) for t in held])
+        at = np.searchsorted(cuts, np.concatenate([[0], stops]), side="right")
+        for k, t in enumerate(held):
+            out.append(_ends(len(t), (c for c in (cuts[at[k] : at[k + 1]] - start).tolist() if c >= WINDOW)))
+            start += len(t)
+        held.clear()
+
+    size = 0
+    for t in texts:
+        if size + len(t) > HASHED and held:
+            flush()
+            size = 0
+        held.append(t)
+        size += len(t)
+    if held:
+        flush()
+    return out
 
-def joined(chunks, encode) -> list[int]:
-    """The ids of the chunks' concatenation. ``chunks`` yields (text, ids, starts, firsts); ``encode(text)`` the same.
 
-    ``open_text`` is the tail that the next chunk may still change; everything before it is final.
+def spliced(text: str, known: Sequence[tuple[int, int, Sequence[int]]], encode: Callable[[str], list[int]]) -> list[int]:
+    """The ids of a text of which some chunks' own ids are known: ``known`` has (start, end, ids) in order, not overlapping.
+
+    Of a known chunk, what lies between its first and its last certain border is taken; everything else, joins
+    included, is encoded from border to border. A chunk without two certain borders is encoded with its neighbours.
     """
-    done: list[int] = []
-    open_text = ""
-    for text, ids, starts, firsts in chunks:
-        tail = max(0, len(starts) - 2)
-        if not open_text:
-            if tail:
-                done.extend(ids[: firsts[tail]])
-            open_text = text[starts[tail] :] if starts else text
-            continue
-        own, reach, met = dict(zip(starts, firsts)), 24, None
-        while True:
-            part = text[:reach]
-            _, w_ids, w_starts, w_firsts = encode(open_text + part)
-            met = next((k for k, s in enumerate(w_starts) if s > len(open_text) and s - len(open_text) in own), None)
-            if met is not None or reach >= len(text):
+    out: list[int] = []
+    at = 0
+    for a, e, ids in known:
+        m = _CERTAIN.search(text, a, e) if a else None
+        first = 0 if not a else m.start() if m else e
+        last = e if e == len(text) or _CERTAIN.match(text, e) else None
+        reach = 32
+        while last is None:
+            lo = max(first, e - reach)
+            last = max((x.start() for x in _CERTAIN.finditer(text, lo, e)), default=None)
+            if lo == first:
                 break
             reach *= 4
-        at = w_starts[met] - len(open_text) if met is not None else None
-        if at is None or not starts or starts[tail] < at:
-            open_text += text
+        if last is None or first >= last or first < at:
             continue
-        done.extend(w_ids[: w_firsts[met]])
-        done.extend(ids[own[at] : firsts[tail]])
-        open_text = text[starts[tail] :]
-    if open_text:
-        done.extend(encode(open_text)[1])
-    return done
+        if at < first:
+            out += encode(text[at:first])
+        head, tail = len(encode(text[a:first])) if first > a else 0, len(encode(text[last:e])) if last < e else 0
+        out += ids[head : len(ids) - tail]
+        at = last
+    return out + encode(text[at:]) if at < len(text) else out
 
 
 def encode_corpus(df: DataFrame, doc: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
@@ -118,88 +164,57 @@ def encode_corpus(df: DataFrame, doc: str = "doc_id", text: str = "text", folder
     Every row of ``df`` gives one row; an empty or null text gives an empty list, and so does a text of a repeated or
     null ``doc``, which is told apart by a row number of its own. Other columns are ignored, whatever their names.
 
-    Chunk rows carry a 16-byte digest; texts of chunks meet the encoder once per distinct chunk. A chunk that very many
-    documents share makes a skewed join key with a single row on the other side, which AQE splits. Chunks of a document
-    are put together in a sorted stream, so a task holds one document's ids at a time.
+    Only 16-byte digests of the chunks are shuffled to count them, combined before the shuffle. A chunk that very many
+    documents share makes a skewed join key with a single row on the other side, which AQE splits. What is collected
+    for a row is bounded by the chunks of one document.
     """
     src = spread(df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))).withColumn("row", F.monotonically_increasing_id())
     src_type = dict(src.dtypes)["doc"]
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, rows, texts = b.column(0), b.column(2).to_pylist(), b.column(1)
-            for lo in range(0, len(rows), 256):
-                at, seq, keys, parts = [], [], [], []
-                for i, t in enumerate(texts.slice(lo, 256).to_pylist(), lo):
-                    start = 0
-                    ends = chunk_ends(t) if t else [0]
-                    for k, end in enumerate(ends):
-                        piece = t[start:end] if t else ""
-                        start = end
-                        at.append(i)
-                        seq.append(k)
-                        keys.append(hashlib.blake2b(piece.encode(), digest_size=16).digest())
-                        parts.append(piece)
-                where = pa.array(at, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [docs.take(where), b.column(2).take(where), pa.array(seq, pa.int32()), pa.array(keys, pa.binary()), pa.array(parts, pa.string())], names=["doc", "row", "seq", "key", "part"]
-                )
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(folder)
+            for lo in range(0, b.num_rows, 1024):
+                sub = b.slice(lo, 1024)
+                texts = [t or "" for t in sub.column(1).to_pylist()]
+                ends = chunk_ends(texts)
+                keys = [[hashlib.blake2b(t[a:e].encode(), digest_size=16).digest() for a, e in zip([0, *es], es)] for t, es in zip(texts, ends)]
+                yield pa.RecordBatch.from_arrays([*sub.columns, pa.array(ends, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.binary()))], names=["doc", "text", "row", "ends", "keys"])
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer(folder)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                sub = b.slice(lo, 512)
-                texts = sub.column(1).to_pylist()
-                ids, starts, firsts = [], [], []
-                for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
-                    s, f = starts_and_first_tokens(t, e.word_ids)
-                    ids.append(e.ids)
-                    starts.append(s)
-                    firsts.append(f)
-                yield pa.RecordBatch.from_arrays([sub.column(0), sub.column(1), *[pa.array(x, pa.list_(pa.int32())) for x in (ids, starts, firsts)]], names=["key", "part", "ids", "starts", "firsts"])
+                texts, ends, spots, names = (b.column(c).slice(lo, 512).to_pylist() for c in ("text", "ends", "spots", "keys"))
+                keys, ids = [], []
+                for t, es, ps, ks in zip(texts, ends, spots, names):
+                    for p, k in zip(ps, ks):
+                        keys.append(k)
+                        ids.append(encode(t[es[p - 1] if p else 0 : es[p]]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(folder)
-
-        def encode(t):
-            e = tok.encode(t, add_special_tokens=False)
-            s, f = starts_and_first_tokens(t, e.word_ids)
-            return t, e.ids, s, f
-
-        now, held, docs, out, weight = None, [], [], [], 0
-
-        def emit():
-            nonlocal docs, out, weight
-            batch = pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(out, pa.list_(pa.int32()))], names=["doc", "ids"])
-            docs, out, weight = [], [], 0
-            return batch
-
-        kind, doc_now = None, None
+        encode = tokenizer(folder)
         for b in batches:
-            kind = b.schema.field("doc").type
             for lo in range(0, b.num_rows, 512):
                 sub = b.slice(lo, 512)
-                for d, r, *chunk in zip(*(sub.column(c).to_pylist() for c in ("doc", "row", "part", "ids", "starts", "firsts"))):
-                    if r != now:
-                        if now is not None:
-                            docs.append(doc_now)
-                            out.append(joined(held, encode))
-                            weight += len(out[-1])
-                            if weight > 500_000 or len(out) >= 5_000:
-                                yield emit()
-                        now, doc_now, held = r, d, []
-                    held.append(chunk)
-        if now is not None:
-            docs.append(doc_now)
-            out.append(joined(held, encode))
-        if docs:
-            yield emit()
-
-    pieces = cut(src.mapInArrow(chunked, f"doc {src_type}, row long, seq int, key binary, part string"))
-    once = pieces.groupBy("key").agg(F.first("part").alias("part")).mapInArrow(encoded, "key binary, part string, ids array<int>, starts array<int>, firsts array<int>")
-    lined = pieces.drop("part").join(once, "key").drop("key").repartition("row").sortWithinPartitions("row", "seq")
-    return lined.mapInArrow(assembled, f"doc {src_type}, ids array<int>").withColumnRenamed("doc", doc)
+                out, weight, begun = [], 0, 0
+                for i, (t, es, ps, ids) in enumerate(zip(*(sub.column(c).to_pylist() for c in ("text", "ends", "spots", "ids")))):
+                    if ps is None:
+                        out.append(encode(t) if t else [])
+                    else:
+                        out.append(spliced(t, [(es[p - 1] if p else 0, es[p], x) for p, x in zip(ps, ids)], encode))
+                    weight += len(out[-1])
+                    if weight > 500_000 or i == sub.num_rows - 1:
+                        yield pa.RecordBatch.from_arrays([sub.column(0).slice(begun, len(out)), pa.array(out, pa.list_(pa.int32()))], names=["doc", "ids"])
+                        out, weight, begun = [], 0, i + 1
+
+    pieces = cut(src.mapInArrow(chunked, f"doc {src_type}, text string, row long, ends array<int>, keys array<binary>"))
+    each = pieces.select("row", F.posexplode("keys").alias("pos", "key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("at")).filter("n > 1").select("key", "at.row", "at.pos")
+    owners = shared.groupBy("row").agg(F.collect_list(F.struct("pos", "key")).alias("own")).select("row", F.col("own.pos").alias("spots"), F.col("own.key").alias("keys"))
+    once = cut(pieces.select("row", "text", "ends").join(owners, "row").mapInArrow(owned, "key binary, ids array<int>"))
+    known = each.join(once, "key").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("k")).select("row", F.col("k.pos").alias("spots"), F.col("k.ids").alias("ids"))
+    return pieces.drop("keys").join(known, "row", "left").select("doc", "text", "ends", "spots", "ids").mapInArrow(assembled, f"doc {src_type}, ids array<int>").withColumnRenamed("doc", doc)
 
 
 def token_counts(df: DataFrame, doc: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
@@ -207,12 +222,10 @@ def token_counts(df: DataFrame, doc: str = "doc_id", text: str = "text", folder:
     src = spread(df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(folder)
+        encode = tokenizer(folder)
         for b in batches:
-            counts = []
-            for lo in range(0, b.num_rows, 256):
-                texts = [t or "" for t in b.column(1).slice(lo, 256).to_pylist()]
-                counts.extend(len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["doc", "n_tokens"])
+            for lo in range(0, b.num_rows, 1024):
+                sub = b.slice(lo, 1024)
+                yield pa.RecordBatch.from_arrays([sub.column(0), pa.array([len(encode(t)) if t else 0 for t in sub.column(1).to_pylist()], pa.int64())], names=["doc", "n_tokens"])
 
     return src.mapInArrow(run, f"doc {dict(src.dtypes)['doc']}, n_tokens long").withColumnRenamed("doc", doc)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import packing, tokens
 
-TEXTS = ["", None, " ", "<|endoftext|> is text", "it's  we'll\n\n  x", "日本語。テスト" * 300, "a" * 20_000, " " * 9_000 + "b", "The board cut retention. " * 400, "🏳️‍🌈𝔘𝔫 " * 500, "\n" * 5_000, "x1y2" * 3_000]
+TEXTS = ["", None, " ", "<|endoftext|> is text", "it's  we'll\n\n  x", "日本語。テスト" * 300, "a" * 20_000, " " * 9_000 + "b", "The board cut retention. " * 400, "🏳️‍🌈𝔘𝔫 " * 500, "\n" * 5_000, "x1y2" * 3_000, " " * 1_000_000 + "a\u3000" * 9, "shared passage, with a mark. " * 9 + "日本語の文。" * 40]
 
 
 def mixed(rng):
@@ -14,7 +14,11 @@ def mixed(rng):
 
 
 def expected(texts):
-    return [e.ids for e in tokens.tokenizer().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    return [e.ids for e in t.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_ids_equal_plain_encoding(spark):
@@ -36,25 +40,28 @@ def test_repeated_and_null_ids_and_empty_table(spark):
 def test_chunks_are_content_defined():
     rng = random.Random(1)
     body = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
-    pieces = lambda t: {t[a:b] for a, b in zip([0, *tokens.chunk_ends(t)], tokens.chunk_ends(t))}
-    for t in (body, "new start " + body):
-        ends = tokens.chunk_ends(t)
+    each = dict(zip((body, "new start " + body), tokens.chunk_ends([body, "new start " + body])))
+    assert each == {t: tokens.chunk_ends(["before", t])[1] for t in each}
+    for t, ends in each.items():
         assert ends == sorted(set(ends)) and ends[-1] == len(t) and all(b - a <= tokens.MOST for a, b in zip([0, *ends], ends))
-    assert len(pieces(body) & pieces("new start " + body)) >= 0.9 * len(pieces(body))
+    cut = lambda t: {t[a:b] for a, b in zip([0, *each[t]], each[t])}
+    assert len(cut(body) & cut("new start " + body)) >= 0.98 * len(cut(body)) and tokens.chunk_ends(["", "a" * 9_000]) == [[], [4096, 8192, 9000]]
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_joined_chunks_at_any_cut(seed):
-    rng = random.Random(seed)
+def test_splices_at_any_cut(seed):
+    rng, encode = random.Random(seed), tokens.tokenizer()
+    for text in [mixed(rng)[:400] for _ in range(60)] + ["   a", "a   ", "\n \n", "it's", "aaaaaaaaaaaa"]:
+        cuts = sorted(rng.sample(range(1, len(text)), min(len(text) - 1, rng.randrange(8)))) if len(text) > 1 else []
+        known = [(a, b, encode(text[a:b])) for a, b in zip([0, *cuts], [*cuts, len(text)]) if rng.random() < 0.7]
+        assert tokens.spliced(text, known, encode) == encode(text)
 
-    def encode(t):
-        e = tokens.tokenizer().encode(t, add_special_tokens=False)
-        return t, e.ids, *tokens.starts_and_first_tokens(t, e.word_ids)
 
-    for text in [mixed(rng)[:400] for _ in range(40)] + ["   a", "a   ", "\n \n", "it's", "aaaaaaaaaaaa"]:
-        cuts = sorted(rng.sample(range(1, len(text)), min(len(text) - 1, rng.randrange(8)))) if len(text) > 1 else []
-        chunks = [encode(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
-        assert tokens.joined(chunks, encode) == encode(text)[1]
+def test_a_shared_chunk_is_encoded_once_and_used():
+    text = "".join(f"Sentence number {i} stands here. " for i in range(200))
+    calls, encode = [], tokens.tokenizer()
+    got = tokens.spliced(text, [(1000, 5000, encode(text[1000:5000]))], lambda t: calls.append(len(t)) or encode(t))
+    assert got == encode(text) and sum(calls) < len(text) - 3_900
 
 
 def rows(spark, sizes, containers):
