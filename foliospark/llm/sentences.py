@@ -3,12 +3,14 @@
 Blank lines and list items cut a text into pieces. In a piece, every mark that may end a sentence is a candidate, and
 for scripts that write none, every space between their letters. A semi-Markov dynamic programme then chooses whole
 spans between candidates: a span's score joins its closing word (an abbreviation or not), the opening word after it,
-its length, and whether its quotation marks and brackets are balanced.
+its length, and whether it begins or ends inside a pair of quotation marks or brackets.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,7 +67,9 @@ _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _TOKEN = regex.compile(r"(?:[\p{L}\p{M}\p{N}]+(?:[.\-–’'&][\p{L}\p{M}\p{N}]+)*|[\p{L}\p{M}\p{N}]+)$")
 _NEXT = regex.compile(r"[\s\"“”„«»‹›‘’'(（\[「『《¿¡—–-]*")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-LOOK_BACK = 64
+#: the score of an end that hardly can be one; what a span loses for each of its ends inside a pair of marks; what one loses for being very short, and for each character beyond a long sentence
+HARDLY, TORN, SHORT, LONG = -9.0, 7.0, 2.0, 0.002
+SHORTEST, LONGEST = 4, 240
 
 
 #: what may stand before a full stop that no space follows: a word or number that is no part of an address or path
@@ -87,6 +91,8 @@ def closing_token(text: str, at: int) -> str:
     token = _APOSTROPHE.split(m[0])[-1] if m else ""
     if "." in token and (k := _LAST.fullmatch(token)) is not None:
         return k[1]
+    if (k := token.rpartition(".")[2]) != token and len(k) > 1 and k[0].isupper() and k.lower() in NEVER:
+        return k
     return token
 
 
@@ -97,14 +103,29 @@ _YEAR = regex.compile(r"\p{N}\s*г$")
 _UPPER_DOTS, _LOWER_DOTS = regex.compile(r"(?:\p{Lu}\.)+\p{Lu}"), regex.compile(r"(?:\p{Ll}\.)+\p{Ll}")
 
 
-def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int) -> float | None:
-    """How well a sentence ends at ``end``; None if none can. Its marks stand from ``at`` to ``closed``, references after.
+def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int) -> float:
+    """How well a sentence ends at ``end``. Its marks stand from ``at`` to ``closed``, references after.
 
-    ``start`` and ``stop`` bound the piece. The score is a log-odds by hand: above 0 a boundary is likely.
+    ``start`` and ``stop`` bound the piece. The score is a log-odds by hand: above 0 a boundary is likely. The plain
+    cases, most full stops of numbers, words and addresses, are told first.
     """
     marks = text[at:closed]
     if end >= stop:
         return 6.0
+    if marks == "." and closed == end and end + 1 < stop:
+        c = text[end]
+        if c in "0123456789,;:，；：、%" or "a" <= c <= "z" and not _CAMEL.match(text, end):
+            return HARDLY
+        if c == " ":
+            c = text[end + 1]
+            if c.isupper():
+                word = text[text.rfind(" ", max(start, at - 30), at) + 1 : at]
+                if 2 < len(word) < 30 and word.isalpha() and word.lower() not in _ABBREVIATED:
+                    return 4.0
+            elif c.islower() and not _CAMEL.match(text, end + 1):
+                return -6.0
+    elif marks == "。":
+        return HARDLY if text[end] in ",;:，；：、%" else 5.0
     m = _NEXT.match(text, end, stop)
     gap, nxt = m[0], m.end()
     head = text[nxt] if nxt < stop else ""
@@ -116,11 +137,11 @@ def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int)
     cjk_next = bool(_CJK.match(head)) if head else False
     lower = head.islower() and not _CAMEL.match(word)
     if inner and _GOES_ON.match(text, end, stop) and (marks[-1] not in ")）]" or text[end] in ",;:，、；："):
-        return None
+        return HARDLY
     if not spaced and head and gap[:1] in (",", ";", ":"):
-        return None
+        return HARDLY
     if text[end : end + 1] in ",;:，；：、%":
-        return None
+        return HARDLY
     if strong:
         if lower and not cjk_next and marks[0] in "؟۔।॥":
             return -3.0
@@ -128,25 +149,25 @@ def mark_score(text: str, start: int, at: int, closed: int, end: int, stop: int)
     if "…" in marks and marks.strip("…\"”’»") == "" or set(marks) <= {"."} and len(marks) >= 3:
         if _ZH_ON.match(text, end, stop) or lower:
             return -4.0
-        return 2.5 if spaced or cjk_next or not head.isascii() or head.isupper() or _CAMEL.match(word) or _CJK.search(text[max(start, at - 12) : at]) else None
+        return 2.5 if spaced or cjk_next or not head.isascii() or head.isupper() or _CAMEL.match(word) or _CJK.search(text[max(start, at - 12) : at]) else HARDLY
     if "!" in marks or "?" in marks:
         if not spaced and not cjk_next and not gap and (lower or head.isdigit()) and not inner:
-            return None
+            return HARDLY
         return -5.0 if lower else 4.0
     raw = closing_token(text, at)
     token = raw.lower()
     if not spaced:
         if cjk_next:
             if text[nxt] in "はがをにのもでと" or token in NEVER:
-                return None
-            return 3.5 if len(token) > 1 or inner or text[at - 1] in "%)]" else None
+                return HARDLY
+            return 3.5 if len(token) > 1 or inner or text[at - 1] in "%)]" else HARDLY
         if not gap and not inner and head and not head.isdigit() and not lower and (token in MAYBE or _JOINED.search(text, max(start, at - 40), at)) and _AFTER_JOIN.match(text, nxt):
             return 3.0 if token not in NEVER and token not in MAYBE else 2.0 if token not in NEVER else -1.0
         if gap and not inner and head and _QUOTE_NEXT.match(gap) and len(token) > 2:
             return 3.0
         if inner and head and _CJK.search(text[start:stop]):
             return 3.0
-        return None
+        return HARDLY
     if inner and not lower:
         return 3.5
     if lower:
@@ -202,70 +223,90 @@ def pieces(text: str) -> Iterator[tuple[int, int, bool]]:
         yield start, len(text), item
 
 
-def candidates(text: str, start: int, stop: int) -> list[tuple[int, float]]:
+def candidates(text: str, start: int, stop: int, spaceless: bool = True) -> list[tuple[int, float]]:
     """(end, score) of the places in a piece where a unit may end; the last is the piece's end."""
     out = {}
-    heading = not _CLOSED.search(text, start, stop)
+    heading = None
     for m in _CLUSTER.finditer(text, start, stop):
         closed = m.end()
-        if (k := m[0].find("“")) > 0 and text.rfind("„", start, m.start()) <= text.rfind("“", start, m.start()):
+        if closed - m.start() > 1 and (k := m[0].find("“")) > 0 and text.rfind("„", start, m.start()) <= text.rfind("“", start, m.start()):
             closed = m.start() + k  # it opens a quotation
         end = closed
-        if (r := _REFS.match(text, end, stop)) is not None:
+        if end < stop and text[end] in "[ \n\t\xa0\u3000" and (r := _REFS.match(text, end, stop)) is not None:
             if text[r.end() : r.end() + 1] in tuple(_MARKS + ",;:、，"):
                 continue
             end = r.end()
         s = mark_score(text, start, m.start(), closed, end, stop)
-        if s is not None:
-            out[end] = s - 3.0 if heading and 0 < s <= 2.0 else s
-    if _NO_SPACES.search(text, start, stop):
+        if 0 < s <= 2.0:
+            if heading is None:
+                heading = not _CLOSED.search(text, start, stop)
+            s -= 3.0 * heading
+        out[end] = s
+    if spaceless and _NO_SPACES.search(text, start, stop):
         for m in re.compile(r"\s+").finditer(text, start, stop):
             a, b = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
             if _NO_SPACES.match(a) and b and (_NO_SPACES.match(b) or b.isupper() or b in "“\"("):
-                out.setdefault(m.start(), 3.0 if _NO_SPACES.match(b) else 1.5)
-    return [x for x in sorted(out.items()) if text[x[0] : stop].strip()] + [(stop, 6.0)]
+                out[m.start()] = max(out.get(m.start(), HARDLY), 3.0 if _NO_SPACES.match(b) else 1.5)
+    return [x for x in sorted(out.items()) if x[0] < stop and not text[x[0] : stop].isspace()] + [(stop, 6.0)]
 
 
 _BRACKET = re.compile("[" + "".join("\\" + c for c in {*OPEN, *CLOSE} - {"’", "'"}) + "]")
 
 
-def _balance(text: str, lo: int, hi: int, stack: list[str]) -> int:
-    """Reads on from ``lo`` to ``hi``; changes the stack of open marks and returns how many closers had no opener."""
-    stray = 0
-    for m in _BRACKET.finditer(text, lo, hi):
+def pairs(text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """(after the opening mark, before the closing one) of the quotations and brackets of a piece that are both opened and closed in it."""
+    stack: list[tuple[str, int]] = []
+    awaited: Counter = Counter()  # closing marks of the stack
+    out = []
+    for m in _BRACKET.finditer(text, start, stop):
         c = m[0]
-        if stack and c == stack[-1]:
-            stack.pop()
-        elif c == '"':
-            stack.append('"')
-        elif c in OPEN:
-            stack.append(OPEN[c])
-        elif c in CLOSE:
-            if c in stack:
-                del stack[stack.index(c) :]
-            stray += 1
-    return stray
-
-
-def split_piece(text: str, start: int, stop: int) -> list[tuple[int, int]]:
-    """The best spans of one piece."""
-    ends = candidates(text, start, stop)
+        inner = bool(stack) and stack[-1][0] == c
+        if c in CLOSE and awaited[c] and (inner or c not in OPEN and c != '"'):  # a mark that also opens closes only the innermost pair
+            while True:
+                mark, begin = stack.pop()
+                awaited[mark] -= 1
+                if mark == c:
+                    break
+            out.append((begin, m.start()))
+        elif c in OPEN or c == '"':
+            stack.append((OPEN.get(c, c), m.end()))
+            awaited[stack[-1][0]] += 1
+    return out
+
+
+def split_piece(text: str, start: int, stop: int, spaceless: bool = True, marked: bool = True) -> list[tuple[int, int]]:
+    """The best spans of one piece: those with the largest sum of scores.
+
+    A span's score is that of its end, less what it loses for its length and for each end inside a pair of marks. The
+    search is exact without trying every span: an end whose worth is below what a cut can save in length is in no best
+    split, and no best span reaches over an end of positive worth that would leave two spans of sound length.
+    """
+    ends = candidates(text, start, stop, spaceless)
     if len(ends) == 1:
         return [(start, stop)]
-    cuts = [start] + [e for e, _ in ends]
-    n = len(ends)
-    best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
-    for i in range(n):
-        stack: list[str] = []
-        stray, at = 0, cuts[i]
-        for j in range(i + 1, min(n, i + LOOK_BACK) + 1):
-            stray += _balance(text, at, cuts[j], stack)
-            at = cuts[j]
-            size = cuts[j] - cuts[i]
-            score = (ends[j - 1][1] if j < n else 0.0) - 7.0 * (len(stack) > 0) - 7.0 * (stray > 0)
-            score -= 2.0 * (size < 4) + 0.002 * max(0, size - 240)
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, i
+    torn = set()
+    if marked:
+        cuts = [e for e, _ in ends]
+        for a, b in pairs(text, start, stop):
+            torn.update(cuts[bisect_left(cuts, a) : bisect_right(cuts, b)])
+    worth = [(e, s - 2 * TORN * (e in torn)) for e, s in ends[:-1]]
+    kept = [x for x in worth if x[1] >= -LONG * LONGEST - 1e-9]
+    cuts, gain = [start, *[e for e, _ in kept], stop], [0.0, *[s for _, s in kept], 0.0]
+    n = len(cuts) - 1
+    best, back = [0.0] + [0.0] * n, [0] * (n + 1)
+    for j in range(1, n + 1):
+        top, at, end = float("-inf"), 0, cuts[j]
+        near = None  # the nearest end of positive worth that lies a sound length before this one
+        for i in range(j - 1, -1, -1):
+            size = end - cuts[i]
+            score = best[i] - SHORT * (size < SHORTEST) - LONG * max(0, size - LONGEST)
+            if score >= top:  # of equal splits the one with longer spans
+                top, at = score, i
+            if near is not None and near - cuts[i] >= SHORTEST:
+                break
+            if near is None and gain[i] > 0 and size >= SHORTEST:
+                near = cuts[i]
+        best[j], back[j] = top + gain[j], at
     out, j = [], n
     while j:
         out.append((cuts[back[j]], cuts[j]))
@@ -277,8 +318,9 @@ def sentence_units(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each unit in code points, from its first to its last non-blank character; none for blank texts."""
     out = []
     if text:
+        spaceless, marked = _NO_SPACES.search(text) is not None, _BRACKET.search(text) is not None
         for lo, hi, whole in pieces(text):
-            for a, b in [(lo, hi)] if whole else split_piece(text, lo, hi):
+            for a, b in [(lo, hi)] if whole else split_piece(text, lo, hi, spaceless, marked):
                 part = text[a:b]
                 left = len(part) - len(part.lstrip())
                 if left < len(part):
@@ -290,8 +332,7 @@ def sentences(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
     """Rows (doc, sent_start, sent_end), one for each sentence unit of each row of ``df``.
 
     Null, empty and blank texts give nothing, an empty table no rows. Rows are independent: repeated rows give repeated
-    units, and nothing is shuffled but a table too small to give each core a split. Other columns are ignored, whatever their names. A span holds at most 64 candidate
-    ends, which bounds the work on a text without blank lines to its length.
+    units, and nothing is shuffled but a table too small to give each core a split. Other columns are ignored, whatever their names.
     """
     src = spread(df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")))
 

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +40,29 @@ def test_units_without_spaces(case):
     assert units("".join(case)) == case
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 17, 100])
+def test_a_quotation_inside_a_sentence_stays_whole_however_long(n):
+    said = " ".join(f"Sales of unit {i} grew again." for i in range(n))
+    assert units(f"Ann wrote: “{said}” Then she left.") == [f"Ann wrote: “{said}”", "Then she left."]
+    assert units(f"The memo (“{said}”) went to all. It is short.") == [f"The memo (“{said}”) went to all.", "It is short."]
+    assert units(f"An open (mark. {said} That is all.")[0] == "An open (mark." and len(units(said)) == n
+
+
+def test_the_search_equals_trying_every_span():
+    from foliospark.llm import sentences as s
+
+    rng, parts = random.Random(3), ["Ab cd. ", "x. ", "Dr. ", "“", "” ", "(", ") ", "e.g. ", "Ok! ", "B. ", "lower. word ", "W" * 150 + ". ", "1. "]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))).strip()
+        ends = s.candidates(t, 0, len(t))
+        torn = {e for e, _ in ends[:-1] for a, b in s.pairs(t, 0, len(t)) if a <= e <= b}
+        total = lambda cuts: sum(
+            (dict(ends)[b] - 2 * s.TORN * (b in torn) if b < len(t) else 0) - s.SHORT * (b - a < s.SHORTEST) - s.LONG * max(0, b - a - s.LONGEST) for a, b in zip([0, *cuts], cuts)
+        )
+        every = ([*c, len(t)] for k in range(len(ends)) for c in itertools.combinations([e for e, _ in ends[:-1]], k))
+        assert abs(total([b for _, b in s.split_piece(t, 0, len(t))]) - max(map(total, every))) < 1e-9
+
+
 def test_layout():
     t = "3.2 Unit economics\n \nOne line\nbreak. Two.\n- Supplier: Xx Ltd. and more\n- 9 open\r\n\r\nKey risks　\n\n  Last"
     assert units(t) == ["3.2 Unit economics", "One line\nbreak.", "Two.", "- Supplier: Xx Ltd. and more", "- 9 open", "Key risks", "Last"]
