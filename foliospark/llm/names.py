@@ -48,17 +48,20 @@ for _full, _shorts in NICKNAMES.items():
 SHORT_FORM = 0.65
 
 
+@lru_cache(50_000)
 def fold(text: str) -> str:
     """Lower case without accents."""
     t = unicodedata.normalize("NFKD", text).lower().translate(_LETTERS)
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
+@lru_cache(50_000)
 def plain(token: str) -> str:
     """A folded token in which ae, oe, ue and ss count as the letter that they spell."""
     return re.sub("ss", "s", re.sub("(a|o|u)e", r"\1", token))
 
 
+@lru_cache(50_000)
 def organisation_tokens(text: str) -> list[str]:
     t = re.sub(r"\.(?:example|com|org|net|co|io|de|fr)\s*$", "", text.strip(), flags=re.I)
     words = [w for w in re.split(r"[\W_]+", fold(re.sub(r"[’']s?\b", "", t))) if w]
@@ -66,12 +69,14 @@ def organisation_tokens(text: str) -> list[str]:
     return kept or words
 
 
+@lru_cache(50_000)
 def person_tokens(text: str) -> list[str]:
     t = re.sub(r"\([^()]*\)|[“\"„«][^”\"“»]*[”\"“»]", " ", unicodedata.normalize("NFKC", text))
     words = [w for w in re.split(r"[\W_]+", fold(t)) if w]
     return [w for w in words if w not in TITLES] or words
 
 
+@lru_cache(50_000)
 def acronym(text: str) -> str | None:
     """The letters of a name that is written as an acronym: RRTC, K.Q.A.; None for any other."""
     t = unicodedata.normalize("NFKC", text).strip()
@@ -80,6 +85,7 @@ def acronym(text: str) -> str | None:
     return None
 
 
+@lru_cache(50_000)
 def initials(text: str) -> str:
     words = [w for w in re.split(r"\s+", re.sub(r"[^\w\s-]", " ", text)) if w and fold(w) not in STOP | {"and", "of", "for"}]
     return "".join(fold(w[0])[:1] for w in words)
@@ -94,23 +100,42 @@ def grams(tokens: Iterable[str], q: int = 3) -> list[str]:
 
 
 def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with transpositions; ``most`` + 1 for anything larger than ``most``."""
+    """Edit distance with transpositions; ``most`` + 1 for anything larger than ``most``. Only cells within ``most`` of the diagonal are looked at."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    two, one = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
-            if two and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, two[j - 2] + 1)
-            row.append(v)
-        if min(row) > most:
-            return most + 1
+    n, m = len(a), len(b)
+    far = most + 1
+    if abs(n - m) > most:
+        return far
+    lo, end = 0, min(n, m)
+    while lo < end and a[lo] == b[lo]:
+        lo += 1
+    lo = max(0, lo - 1)  # a transposition may begin with the last equal letter
+    a, b = a[lo:], b[lo:]
+    n, m = n - lo, m - lo
+    two, one = None, [j if j <= most else far for j in range(m + 1)]
+    for i in range(1, n + 1):
+        x, left, right = a[i - 1], max(1, i - most), min(m, i + most)
+        row = [far] * (m + 1)
+        if i <= most:
+            row[0] = i
+        least = far
+        for j in range(left, right + 1):
+            y = b[j - 1]
+            v = one[j - 1] + (x != y)
+            if one[j] + 1 < v:
+                v = one[j] + 1
+            if row[j - 1] + 1 < v:
+                v = row[j - 1] + 1
+            if two is not None and j > 1 and x == b[j - 2] and a[i - 2] == y and two[j - 2] + 1 < v:
+                v = two[j - 2] + 1
+            row[j] = v
+            if v < least:
+                least = v
+        if least > most and row[0] > most:
+            return far
         two, one = one, row
-    return min(one[-1], most + 1)
+    return min(one[m], far)
 
 
 def _within(short: str, long: str) -> bool:
@@ -175,6 +200,19 @@ def person_likeness(a: str, b: str, weight: dict[str, float]) -> float:
     return s
 
 
+@lru_cache(50_000)
+def flat(text: str) -> str:
+    """The letters and digits of a typed name without anything between them."""
+    return "".join(w for w in re.split(r"[\W_]+", fold(re.sub(r"\.(?:example|com|org|net)\s*$", "", text.strip(), flags=re.I))) if w)
+
+
+@lru_cache(50_000)
+def flat_forms(text: str) -> tuple[tuple[bool, str], ...]:
+    """A listed name written without spaces, with and without its articles and conjunctions; whether ``the`` is left out."""
+    words = [w for w in re.split(r"[\W_]+", fold(text.replace("&", " and "))) if w]
+    return tuple(dict.fromkeys((("the" in drop), "".join(w for w in words if w not in drop)) for drop in ((), ("the",), ("and",), ("the", "and"))))
+
+
 def organisation_likeness(a: str, b: str, weight: dict[str, float]) -> float:
     """How likely spelling ``a`` means the listed organisation ``b``.
 
@@ -187,13 +225,11 @@ def organisation_likeness(a: str, b: str, weight: dict[str, float]) -> float:
     s, left_x, left_y = soft_likeness(x, y, weight, False)
     if not left_x and not left_y and s > 0.97:
         return s
-    flat_a = "".join(w for w in re.split(r"[\W_]+", fold(re.sub(r"\.(?:example|com|org|net)\s*$", "", a.strip(), flags=re.I))) if w)
-    best = 0.0
-    for drop in ((), ("the",), ("and",), ("the", "and")):
-        flat_b = "".join(w for w in re.split(r"[\W_]+", fold(b.replace("&", " and "))) if w and w not in drop)
+    flat_a, best = flat(a), 0.0
+    for the, flat_b in flat_forms(b):
         most = 1 if len(flat_b) < 10 else 2
-        flat_x = flat_a[3:] if "the" in drop and flat_a.startswith("the") else flat_a
-        if (d := min(edits(flat_x, flat_b, most), edits(plain(flat_x), plain(flat_b), most))) <= most:
+        flat_x = flat_a[3:] if the and flat_a.startswith("the") else flat_a
+        if abs(len(flat_x) - len(flat_b)) <= 2 * most and (d := min(edits(flat_x, flat_b, most), edits(plain(flat_x), plain(flat_b), most))) <= most:
             best = max(best, 1 - d / max(1, len(flat_b)))
     if left_x:
         return best
@@ -307,6 +343,11 @@ def token_rows(names: DataFrame, persons: bool) -> DataFrame:
     return names.select("name").mapInArrow(run, "name string, token string")
 
 
+@lru_cache(50_000)
+def _read_weights(text: str | None) -> dict[str, float]:
+    return {t: float(w) for t, w in (x.split("=") for x in text.split(" "))} if text else {}
+
+
 def scored(pairs: DataFrame, weights: DataFrame, persons: bool) -> DataFrame:
     """Adds the likeness of each pair. ``weights`` has (token, weight); a pair gets those of its own tokens by a join.
 
@@ -315,14 +356,13 @@ def scored(pairs: DataFrame, weights: DataFrame, persons: bool) -> DataFrame:
     (most,) = [r["m"] for r in weights.agg(F.max("weight").alias("m")).collect()]
     rarest = {} if most is None else {"": most}  # no token is empty
     met = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    held = token_rows(met, persons).join(weights, "token").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("w"))
+    held = token_rows(met, persons).join(weights, "token").groupBy("name").agg(F.array_join(F.collect_list(F.concat_ws("=", "token", F.col("weight").cast("string"))), " ").alias("w"))
     side = lambda x: held.select(F.col("name").alias(x), F.col("w").alias(f"w{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         like = person_likeness if persons else organisation_likeness
         for b in batches:
-            tables = zip(b.column(3).to_pylist(), b.column(4).to_pylist())
-            s = [like(x, y, {**rarest, **dict(wx or ()), **dict(wy or ())}) for x, y, (wx, wy) in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), tables)]
+            s = [like(x, y, {**rarest, **_read_weights(wx), **_read_weights(wy)}) for x, y, wx, wy in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s, pa.float64())], names=["scope", "a", "b", "likeness"])
 
     weighed = pairs.select("scope", "a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select("scope", "a", "b", "wa", "wb")
@@ -372,16 +412,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def person_groups(names: DataFrame, share: float = 0.35, least: float = 0.78) -> DataFrame:
     """(scope, name, root): the spellings of one scope that mean one person share their root.
 
-    ``names`` has (scope, name); null scopes and null, blank or letterless names give nothing; repeats count once.
+    ``names`` has (scope, name); null scopes and null, blank or letterless names give nothing; repeats count once, and
+    so do names of the same tokens, whatever their case, marks and titles.
     Spellings with a given name written out are linked first and grouped. One with initials only joins a group if all
     groups that it is like are one, else it stays alone: it can't bridge two persons.
     """
-    asked = names.select("scope", "name").filter(F.col("scope").isNotNull() & F.col("name").rlike(r"\p{L}")).distinct()
+    told = cut(spelled(names.select("scope", "name").filter(F.col("scope").isNotNull() & F.col("name").rlike(r"\p{L}")).distinct()))
+    short = cut(told.groupBy("scope", F.col("spelled").alias("name")).agg(F.min("short").alias("short")))
+    asked = short.select("scope", "name")
     held = cut(with_grams(asked, True))
     w = cut(token_weights(asked, True))
     pairs = candidates(held, held, share, same=True).unionByName(person_candidates(asked)).distinct()
     links = cut(scored(cut(pairs), w, True).filter(F.col("likeness") >= least))
-    short = cut(with_short_flag(asked))
     flag = lambda c, out: short.select("scope", F.col("name").alias(c), F.col("short").alias(out))
     marked = links.join(flag("a", "sa"), ["scope", "a"]).join(flag("b", "sb"), ["scope", "b"])
     groups = components(asked, marked.filter("not sa and not sb"))
@@ -389,9 +431,8 @@ def person_groups(names: DataFrame, share: float = 0.35, least: float = 0.78) ->
     joined = cross.join(groups.select("scope", F.col("name").alias("full"), "root"), ["scope", "full"]).groupBy("scope", "name").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi")
     alone = marked.filter("sa and sb").join(joined.select("scope", F.col("name").alias("a")), ["scope", "a"], "left_anti").join(joined.select("scope", F.col("name").alias("b")), ["scope", "b"], "left_anti")
     loose = components(short.filter("short").select("scope", "name"), alone).select("scope", "name", F.col("root").alias("loose"))
-    return (
-        groups.join(joined.select("scope", "name", "lo"), ["scope", "name"], "left").join(loose, ["scope", "name"], "left").select("scope", "name", F.coalesce("lo", "loose", "root").alias("root"))
-    )
+    rooted = groups.join(joined.select("scope", "name", "lo"), ["scope", "name"], "left").join(loose, ["scope", "name"], "left").select("scope", F.col("name").alias("spelled"), F.coalesce("lo", "loose", "root").alias("root"))
+    return told.join(rooted, ["scope", "spelled"]).select("scope", "name", "root")
 
 
 _PARTICLES = frozenset("van von de la der den di da del dos".split())
@@ -403,9 +444,16 @@ def is_short(name: str) -> bool:
     return any(len(w) == 1 for w in words) and sum(len(w) > 1 for w in words) < 2
 
 
-def with_short_flag(names: DataFrame) -> DataFrame:
+def spelled(names: DataFrame) -> DataFrame:
+    """(scope, name, spelled, short): names of equal tokens in equal order are one spelling; ``short`` as in ``is_short``.
+
+    A name without tokens is its own spelling.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([is_short(n) for n in b.column(1).to_pylist()], pa.bool_())], names=["scope", "name", "short"])
+            given = b.column(1).to_pylist()
+            forms = [" ".join(person_tokens(n)) or n for n in given]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(forms, pa.string()), pa.array([is_short(n) for n in given], pa.bool_())], names=["scope", "name", "spelled", "short"])
 
-    return names.select("scope", "name").mapInArrow(run, "scope string, name string, short boolean")
+    return names.select("scope", "name").mapInArrow(run, "scope string, name string, spelled string, short boolean")

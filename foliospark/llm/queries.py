@@ -18,7 +18,8 @@ def p6_publisher_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    sources = last_delivery(read(spark, d, "evidence_source").select("source_key", "publisher", "ingested_at", "deleted_at"), ["source_key"]).filter("deleted_at is null")
+    """Links of every source, also of those deleted since: their publisher's name was typed all the same."""
+    sources = last_delivery(read(spark, d, "evidence_source").select("source_key", "publisher", "ingested_at"), ["source_key"])
     listed = read(spark, d, "publisher_ref").select(F.col("publisher_id").alias("id"), F.col("publisher_name").alias("name"))
     links = cut(names.link_to_list(sources.select(F.col("publisher").alias("name")), listed))
     publishers = sources.join(links, sources["publisher"] == links["name"]).select(F.lit("publisher").alias("field"), F.col("id").alias("key_a"), F.col("source_key").alias("key_b"))
