@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.tables import BLANK
+from foliospark.tables import BLANK, strip
 
 _NUMBERS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
 
@@ -57,6 +57,16 @@ def run_parts(run_id: Column) -> tuple[Column, Column]:
     return stamp, F.concat(name, F.lit("-"), F.substring(F.sha1(run_id.cast("binary")), 1, 6))
 
 
+def is_repository(x: Column) -> Column:
+    """F8: whether a setting is owner/repo."""
+    return F.coalesce(x.rlike(r"^[\w.-]+/[\w.-]+\z"), F.lit(False))
+
+
+def is_measurement_id(x: Column) -> Column:
+    """F8: whether a setting, without the white space around it, is a measurement id."""
+    return F.coalesce(strip(x).rlike(r"^[Gg]-[A-Za-z0-9]+\z"), F.lit(False))
+
+
 def report_cards(raw: DataFrame, run_id: str = "run_id", doc: str = "doc") -> DataFrame:
     """Raw card records (variant) as typed cards with every default in place. Undeclared keys are dropped.
 

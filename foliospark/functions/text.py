@@ -115,7 +115,13 @@ def half_up(x: Column, digits: int) -> Column:
 
 def grouped(x: Column, digits: int) -> Column:
     """Thousands in groups, at most ``digits`` decimals, rounded half away from zero."""
-    return F.call_function("format_number", half_up(x, digits), F.lit("#,##0." + "#" * digits))
+    return F.call_function("format_number", half_up(x, digits), F.lit("#,##0" + ("." + "#" * digits if digits else "")))
+
+
+def month_label(month: Column, zh: bool = False) -> Column:
+    """A yyyy-MM month as its locale writes it: January 2024, or year and month with their signs; null for what is no month."""
+    day = F.try_to_timestamp(F.concat(month, F.lit("-01")), F.lit("yyyy-MM-dd"))
+    return F.date_format(day, "yyyy年M月" if zh else "MMMM yyyy")
 
 
 def money_m(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,7 +13,7 @@ from foliospark.streaming import schedule
 from foliospark.tables import last_delivery, read
 
 _LAST = "(select * from (select *, row_number() over (partition by {k} order by ingested_at desc nulls last) rn from {t}) where rn = 1)"
-_CARDS = "with cards as " + _LAST.format(k="run_id", t="report_card") + ", cur as (select * from cards where revision.status is distinct from 'superseded')"
+_CARDS = "with cards as (select * from (select *, row_number() over (partition by run_id order by ingested_at desc nulls last, revision.status desc nulls last) rn from report_card) where rn = 1), cur as (select * from cards where revision.status is distinct from 'superseded')"
 _LIVE = "(select * from " + _LAST + " where deleted_at is null)"
 
 QUERIES: dict = {}
@@ -30,14 +30,17 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def cards(s: SparkSession, d: str) -> DataFrame:
-    """Each run's last delivery. Columns that a query doesn't use never leave the scan."""
-    return last_delivery(read(s, d, "report_card"), ["run_id"])
+def cards(s: SparkSession, d: str, *columns: Column | str) -> DataFrame:
+    """Each run's last delivery: run_id, ingested_at, revision (of which only the status is read) and what ``columns`` names; no other column leaves the scan.
+
+    Of deliveries at one moment the one with the later status holds, in all queries of cards alike.
+    """
+    src = read(s, d, "report_card").select("run_id", "ingested_at", *columns, *([] if "revision" in columns else [F.struct("revision.status").alias("revision")]))
+    return last_delivery(src, ["run_id"], ties=[F.col("revision.status")])
 
 
-def current(s: SparkSession, d: str, *columns: str) -> DataFrame:
-    src = read(s, d, "report_card").select("run_id", "revision", "ingested_at", *columns) if columns else read(s, d, "report_card")
-    return ranking.current(last_delivery(src, ["run_id"]), F.col("revision.status"))
+def current(s: SparkSession, d: str, *columns: Column | str) -> DataFrame:
+    return ranking.current(cards(s, d, *columns), F.col("revision.status"))
 
 
 def live(s: SparkSession, d: str, table: str, key: str, *columns: str) -> DataFrame:
@@ -132,10 +135,10 @@ def sector_rollup(s, d):
     return rollups.by_label(_sectors(s, d), "run_id", F.col("labels"), F.col("tags"), "overall_score", "sources").withColumn("mean", F.round("mean", 6))
 
 
-@query("sector_entries", _SECTORS + ", e as (select label, run_id, overall_score score, row_number() over (partition by label order by overall_score desc, substr(run_id, 1, 14) desc, run_id) as place, count(*) over (partition by label) n from x) select label, run_id, score, place, greatest(0, n - 6) more from e where place <= 6")
+@query("sector_entries", _SECTORS + ", e as (select label, run_id, overall_score score, row_number() over (partition by label order by overall_score desc, substr(run_id, 1, 14) desc, lower(name), run_id) as place, count(*) over (partition by label) n from x) select label, run_id, score, place, greatest(0, n - 6) more from e where place <= 6")
 def sector_entries(s, d):
-    rows = _sectors(s, d).select("run_id", F.col("overall_score").alias("score"), F.explode("labels").alias("label"))
-    first = ranking.top_per_group(rows, "label", [F.desc("score"), F.desc(F.substring("run_id", 1, 14)), "run_id"], 6).withColumnRenamed("position", "place")
+    rows = _sectors(s, d).select("run_id", F.col("overall_score").alias("score"), "name", F.explode("labels").alias("label"))
+    first = ranking.top_per_group(rows, "label", [F.desc("score"), F.desc(F.substring("run_id", 1, 14)), F.collate("name", "UNICODE"), "run_id"], 6).withColumnRenamed("position", "place")
     sizes = rows.groupBy("label").agg(F.greatest(F.lit(0), F.count("*") - 6).alias("more"))
     return first.join(sizes, "label").select("label", "run_id", "score", "place", "more")
 
@@ -179,16 +182,9 @@ def search_documents(s, d):
     return feeds.search_documents(_foldered(current(s, d, "company", "overall_score", "run_date")), "/", "zh")
 
 
-@query("feed_items", _CARDS + f" select company.name title, headline description, run_date pub_date, '/' || {_FOLDER} || '/' link from cur order by run_id desc limit 20")
-def feed_items(s, d):
-    """K3: every current card, newest first, in the feeds of both locales; the SQL still has the English feed's newest 20."""
-    c = _foldered(current(s, d, "company", "headline", "run_date")).withColumn("locale", F.explode(F.array(F.lit("en"), F.lit("zh"))))
-    return feeds.feed_items(ranking.newest(c, "run_id", "locale"), F.col("locale"))
-
-
 @query("sitemap", _CARDS + f", p as (select unnest(['/', '/archive/', '/sectors/', '/top-rated/', '/search/']) as path union all select '/' || {_FOLDER} || '/' from cards) select 'https://example.org' || l || path loc, '<url><loc>https://example.org' || l || path || '</loc></url>' xml from p, (values (''), ('/zh')) v(l)")
 def sitemap(s, d):
-    return feeds.sitemap(_foldered(last_delivery(read(s, d, "report_card").select("run_id", "ingested_at"), ["run_id"])), "https://example.org/")
+    return feeds.sitemap(_foldered(cards(s, d).select("run_id")), "https://example.org/")
 
 
 _CLEAN = "nullif(regexp_extract(lower(trim({c})), '([0-9]{{14}}-[^/]+)', 1), '')"
@@ -198,7 +194,7 @@ _CLEAN = "nullif(regexp_extract(lower(trim({c})), '([0-9]{{14}}-[^/]+)', 1), '')
 def redirect_routes(s, d):
     from foliospark.plans.problems import clean_run
 
-    c = cards(s, d).select(F.col("run_id").alias("from_run"), clean_run(F.col("revision.superseded_by_run_id")).alias("to_run")).filter("to_run is not null")
+    c = cards(s, d, "revision").select(F.col("run_id").alias("from_run"), clean_run(F.col("revision.superseded_by_run_id")).alias("to_run")).filter("to_run is not null")
     return feeds.redirect_routes(c, "/site/")
 
 
@@ -229,9 +225,12 @@ def _fmt(v):
 _MONEY = "case when abs(v) >= 1000 then '$' || " + _fmt("(v / 1000)") + " || 'B' else '$' || " + _fmt("v") + " || 'M' end"
 
 
-@query("metric_rows", _CARDS + f", u as (select run_id, unnest(['Valuation', 'Revenue', 'ARR']) as label, unnest([key_metrics.valuation_usd_m, key_metrics.revenue_run_rate_usd_m, key_metrics.arr_usd_m]) v from cur) select run_id, label, {_MONEY} as shown from u where v is not null and not isnan(v)")
+_PCT = "regexp_replace(regexp_replace(format('{:,.3f}', round(v::decimal(38,12), 3)), '0+$', ''), '\\.$', '') || '%'"
+
+
+@query("metric_rows", _CARDS + f", u as (select run_id, unnest(['Valuation', 'Revenue', 'ARR', 'Growth', 'NRR']) as label, unnest([key_metrics.valuation_usd_m, key_metrics.revenue_run_rate_usd_m, key_metrics.arr_usd_m, key_metrics.revenue_growth_yoy_pct, key_metrics.nrr_pct]) v from cur) select run_id, label, case when label in ('Growth', 'NRR') then {_PCT} else {_MONEY} end as shown from u where v is not null and not isnan(v)")
 def metric_rows(s, d):
-    """The five metrics that a card shows, rows without a value removed; the SQL still has the first three."""
+    """The five metrics that a card shows, rows without a value removed."""
     row = lambda label, v: F.struct(F.lit(label).alias("label"), v.alias("shown"))
     m = lambda k: text.money_m(F.col(f"key_metrics.{k}"))
     p = lambda k: text.metric(F.col(f"key_metrics.{k}"), "%")
@@ -266,7 +265,7 @@ def normalised_cards(s, d):
         "slug", F.col("run_date").alias("runDate"), F.struct(F.col("company.name").alias("name"), F.col("company.sector").alias("sector")).alias("company"), F.struct(F.col("revision.status").alias("status")).alias("revision"),
         F.struct("headline", "recommendation", F.col("overall_score").alias("overallScore"), F.struct(*[coerce.finite(F.col(f"key_metrics.{k}")).alias(v) for k, v in rename.items()]).alias("keyMetrics"), F.col("top_strengths").alias("topStrengths")).alias("summary"),
     )
-    raw = cards(s, d).select("run_id", F.parse_json(F.to_json(doc)).alias("doc"))
+    raw = cards(s, d, "slug", "run_date", "company", "headline", "recommendation", "overall_score", "key_metrics", "top_strengths").select("run_id", F.parse_json(F.to_json(doc)).alias("doc"))
     n = coerce.report_cards(raw)
     return n.select("run_id", "slug", F.col("company.name").alias("name"), F.col("revision.status").alias("status"), F.coalesce("key_metrics.nrrPct", F.lit(-1.0)).alias("nrr"), F.size("top_strengths").cast("bigint").alias("strengths"), F.col("overall_score").alias("score"))
 
@@ -315,7 +314,7 @@ def revision_targets(s, d):
     """The slug of a linked run, only where that run exists."""
     from foliospark.plans.problems import clean_run
 
-    c = last_delivery(read(s, d, "report_card").select("run_id", "revision", "ingested_at"), ["run_id"])
+    c = cards(s, d, "revision")
     known = c.select(F.col("run_id").alias("target"), coerce.run_parts(F.col("run_id"))[1].alias("target_slug"))
     return c.select("run_id", clean_run(F.col("revision.refresh_of_run_id")).alias("target")).join(known, "target", "left").select("run_id", "target", "target_slug")
 
@@ -335,13 +334,6 @@ def orphan_exhibits(s, d):
     return links.without(live(s, d, "exhibit", "exhibit_key", "run_id", "exhibit_id"), used, ["run_id", "exhibit_id"]).select("exhibit_key", "run_id", "exhibit_id")
 
 
-@query("dangling_contradictions", f"with {_CLAIMS}, r as (select claim_key, run_id, unnest(contradicts_claim_refs) ref from claims) select distinct claim_key, ref from r where ref is not null and not exists (select 1 from claims c where c.run_id = r.run_id and c.claim_id = r.ref)")
-def dangling_contradictions(s, d):
-    c = live(s, d, "claim", "claim_key", "run_id", "claim_id", "contradicts_claim_refs")
-    r = c.select("claim_key", "run_id", F.explode("contradicts_claim_refs").alias("claim_id")).filter("claim_id is not null").distinct()
-    return links.without(r, c, ["run_id", "claim_id"]).select("claim_key", F.col("claim_id").alias("ref"))
-
-
 @query("confidence_rule", f"with {_CLAIMS}, {_SOURCES}, r as (select distinct claim_key, run_id, unnest(source_refs) source_id from claims where confidence = 'high'), k as (select claim_key, count(*) n, count_if(reputation_tier = 'high') hi from r join sources using (run_id, source_id) group by 1) select claim_key, coalesce(n, 0) sources, coalesce(hi, 0) high from claims left join k using (claim_key) where confidence = 'high' and (coalesce(n, 0) < 2 or coalesce(hi, 0) < 1)")
 def confidence_rule(s, d):
     """V3: high-confidence claims with fewer than two sources, or none of high reputation."""
@@ -351,19 +343,6 @@ def confidence_rule(s, d):
     return c.join(k, "claim_key", "left").select("claim_key", F.coalesce("n", F.lit(0)).alias("sources"), F.coalesce("hi", F.lit(0)).alias("high")).filter("sources < 2 or high < 1")
 
 
-@query("chapter_minimums", f"with {_BLOCKS} select run_id, chapter_number, count(*) blocks, count(distinct section_id) sections from blocks group by 1, 2 having count(*) < 3 or count(distinct section_id) < 2")
-def chapter_minimums(s, d):
-    """V4: chapters with fewer blocks or sections than the minimum."""
-    return blocks(s, d, "chapter_number", "section_id").groupBy("run_id", "chapter_number").agg(F.count("*").alias("blocks"), F.countDistinct("section_id").alias("sections")).filter("blocks < 3 or sections < 2")
-
-
-@query("missing_source_types", f"with {_SOURCES}, g as (select run_id, list(distinct source_type) t from sources group by 1), m as (select run_id, unnest(list_filter(['filing', 'news', 'regulatory'], lambda x: not list_contains(t, x))) missing from g) select * from m")
-def missing_source_types(s, d):
-    """V5: required source types that a run lacks."""
-    have = live(s, d, "evidence_source", "source_key", "run_id", "source_type").groupBy("run_id").agg(F.collect_set("source_type").alias("t"))
-    return have.select("run_id", F.explode(F.array_except(F.array(*map(F.lit, ("filing", "news", "regulatory"))), F.col("t"))).alias("missing"))
-
-
 @query("prefix_mismatch", f"with {_BLOCKS}, r as (select block_key, chapter_number, unnest(claim_refs) ref from blocks) select distinct block_key, ref from r where ref is not null and regexp_matches(ref, '^C[A-Z][0-9]{{3}}$') and coalesce(strpos('OMPIEURV', ref[2]), 0) <> chapter_number")
 def prefix_mismatch(s, d):
     """V6: references whose letter belongs to another chapter."""
@@ -398,15 +377,6 @@ def refresh_counters(s, d):
     return manifest_actions(s, d).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("validation_cache", """with a as (select run_id, sha1(headline) h, overall_score, ingested_at from report_card), o as (select run_id, first(h order by ingested_at) was, first(overall_score order by ingested_at) sc from a group by 1), n as (select run_id, last(h order by ingested_at) now from a group by 1)
-select run_id, was = now and sc >= 4.0 as skip from o join n using (run_id)""")
-def validation_cache(s, d):
-    """A check is skipped only where the content's digest is unchanged and the last check passed."""
-    a = read(s, d, "report_card").select("run_id", F.sha1(F.col("headline").cast("binary")).alias("h"), "overall_score", "ingested_at")
-    g = a.groupBy("run_id").agg(F.min_by("h", "ingested_at").alias("was"), F.max_by("h", "ingested_at").alias("now"), F.min_by("overall_score", "ingested_at").alias("sc"))
-    return g.select("run_id", ((F.col("was") == F.col("now")) & (F.col("sc") >= 4.0)).alias("skip"))
-
-
 _ZHDOC = "z as (select run_id, max_by(text, doc_id) zh from documents where run_id is not null and artifact = 'card-headline' and lower(substr(lang, 1, 2)) = 'zh' group by 1)"
 
 
@@ -414,6 +384,15 @@ def _overlay(s, d):
     return read(s, d, "documents").filter("run_id is not null and artifact = 'card-headline' and lower(substring(lang, 1, 2)) = 'zh'").groupBy("run_id").agg(F.max_by("text", "doc_id").alias("zh"))
 
 
+@query("feed_items", _CARDS + f", {_ZHDOC}, l as (select unnest(['', '/zh']) prefix) select company.name title, case when prefix = '/zh' then coalesce(case when regexp_replace(zh, '^\\s+|\\s+$', '', 'g') <> '' then zh end, headline) else headline end description, run_date pub_date, prefix || '/' || {_FOLDER} || '/' link from cur left join z using (run_id), l")
+def feed_items(s, d):
+    """Every current card, newest first, in the feeds of both locales; the Chinese one has the overlay's headline where there is one."""
+    c = _foldered(current(s, d, "company", "headline", "run_date")).withColumn("locale", F.explode(F.array(F.lit("en"), F.lit("zh"))))
+    zh = _overlay(s, d).withColumnRenamed("zh", "zh_headline").withColumn("locale", F.lit("zh"))
+    told = c.join(zh, ["run_id", "locale"], "left").withColumn("headline", F.coalesce(links.present(F.col("zh_headline")), F.col("headline")))
+    return feeds.feed_items(ranking.newest(told, "run_id", "locale"), F.col("locale"))
+
+
 @query("overlay_coalesce", _CARDS + f", {_ZHDOC} select run_id, coalesce(case when trim(zh) <> '' then zh end, headline) headline from cur left join z using (run_id)")
 def overlay_coalesce(s, d):
     return links.overlaid(current(s, d, "headline").select("run_id", "headline"), _overlay(s, d), "run_id", {"headline": "zh"})
@@ -489,25 +468,16 @@ def running_runs(s, d):
     return ranking.running_total(_months(s, d).select("month", "n"), [], "month", "n", "so_far")
 
 
-@query("unresolved_edges", _CARDS + ", e as (select run_id, " + _CLEAN.format(c="revision.superseded_by_run_id") + " target from cards) select e.run_id, target, 0::bigint matches from e where target is not null and not exists (select 1 from cards c where c.run_id = e.target)")
-def unresolved_edges(s, d):
-    from foliospark.plans.problems import clean_run
-
-    c = last_delivery(read(s, d, "report_card").select("run_id", "revision", "ingested_at"), ["run_id"])
-    e = c.select("run_id", clean_run(F.col("revision.superseded_by_run_id")).alias("target")).filter("target is not null")
-    return links.unresolved_edges(e, c.select(F.col("run_id").alias("node")), "target", "node").select("run_id", "target", "matches")
-
-
 @query("short_notes", _CARDS + " select run_id, length(coverage_notes) note_length from cur where length(coverage_notes) <= 40")
 def short_notes(s, d):
     """Notes too short to state a basis."""
     return current(s, d, "coverage_notes").select("run_id", F.length("coverage_notes").cast("bigint").alias("note_length")).filter("note_length <= 40")
 
 
-@query("enum_drift", "select field, value, count(*) n from (select unnest(['recommendation', 'risk_rating', 'valuation_stance']) field, unnest([recommendation, risk_rating, valuation_stance]) as value from report_card) where value is null or value not in (" + ", ".join(f"'{k}'" for k in text.ENUM_LABELS) + ") group by 1, 2")
+@query("enum_drift", "select field, value, count(*) n from (select unnest(['recommendation', 'confidence', 'risk_rating', 'valuation_stance', 'revision.status']) field, unnest([recommendation, confidence, risk_rating, valuation_stance, revision.status]) as value from report_card) where value is null or value not in ('buy', 'pass', 'track', 'avoid', 'research-more', 'high', 'medium', 'low', 'unknown', 'stretched', 'fair', 'expensive', 'cheap') group by 1, 2")
 def enum_drift(s, d):
     """P10: values outside the known labels, for each field."""
-    v = read(s, d, "report_card").select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("recommendation", "risk_rating", "valuation_stance")])).alias("x")).select("x.*")
+    v = read(s, d, "report_card").select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("recommendation", "confidence", "risk_rating", "valuation_stance", "revision.status")])).alias("x")).select("x.*")
     return v.filter(F.col("value").isNull() | ~F.col("value").isin(list(text.ENUM_LABELS))).groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
@@ -519,12 +489,11 @@ def claim_edges(s, d):
     return all_edges.filter("ref is not null").groupBy("relation", "run_id").agg(F.count("*").alias("edges"), F.countDistinct("ref").alias("targets"))
 
 
-@query("failed_messages", "select user_id, count(*) failures, string_agg(event_type || ':' || event_id, '; ' order by event_id) message from (select *, row_number() over (partition by user_id order by event_id) k from events where event_type = 'error') where k <= 5 group by 1")
+@query("failed_messages", "with e as (select *, row_number() over (partition by user_id order by event_id) - 1 k, count(*) over (partition by user_id) n from events where event_type = 'error') select user_id, (k // 1000)::int part, max(n) failures, string_agg(event_type || ':' || event_id, '; ' order by event_id) message from e group by user_id, k // 1000")
 def failed_messages(s, d):
     """All failures of each user, joined to messages of at most 1,000 lines that ``part`` numbers from 0; ``failures`` counts the user's.
 
-    A hot user's failures are numbered in one sort, which spills; only a message's lines are ever collected. The SQL
-    still has the five failures a user that this query once had.
+    A hot user's failures are numbered in one sort, which spills; only a message's lines are ever collected.
     """
     e = read(s, d, "events").filter("event_type = 'error'").select("user_id", "event_id", F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("t"))
     parts = ranking.top_per_group(e, "user_id", [F.col("event_id")], None).withColumn("part", F.expr("cast((position - 1) div 1000 as int)")).groupBy("user_id", "part")

@@ -26,28 +26,23 @@ def due_between(df: DataFrame, first: str, last: str) -> DataFrame:
 def refresh_stream(spark: SparkSession, source: str, schema: T.StructType, key: str, recorded: str, target: str, checkpoint: str) -> StreamingQuery:
     """T1 as a stream: arriving JSON records update a Parquet store, the last by ``recorded`` of each key.
 
-    It takes what is there and ends (availableNow). A micro-batch writes the merged store to a folder of its own and
-    then points ``_current`` at it, so a repeated batch writes the same folder again and readers see whole versions.
+    It takes what is there and ends (availableNow). A micro-batch rewrites only the buckets that its keys fall into
+    (see ``store.change``); a repeated batch gives the same rows again, so neither a crash nor a lost checkpoint loses
+    or doubles any.
     """
+    from foliospark.sources import store
     from foliospark.tables import last_delivery
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = current_store(batch.sparkSession, target)
         rows = batch.select(*[f.name for f in schema.fields])
-        merged = last_delivery(rows if held is None else held.unionByName(rows), [key], recorded)
-        folder = f"v{number:09d}"
-        merged.write.mode("overwrite").parquet(f"{target}/{folder}")
-        batch.sparkSession.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("overwrite").text(f"{target}/_current")
+        latest = lambda held, new: last_delivery(new if held is None else held.unionByName(new), [key], recorded)
+        store.change(batch.sparkSession, target, key, rows, latest)
 
     return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_store(spark: SparkSession, target: str) -> DataFrame | None:
     """The store's last whole version, None before the first."""
-    from pyspark.errors import AnalysisException
+    from foliospark.sources import store
 
-    try:
-        (row,) = spark.read.text(f"{target}/_current/part-*").collect()
-    except (AnalysisException, ValueError):
-        return None
-    return spark.read.parquet(f"{target}/{row['value']}")
+    return store.current(spark, target)

@@ -38,30 +38,32 @@ def temp_names(taken: Sequence[str], *wanted: str) -> list[str]:
     return out
 
 
-def last_delivery(df: DataFrame, keys: Sequence[str], recorded: str = "ingested_at") -> DataFrame:
+def last_delivery(df: DataFrame, keys: Sequence[str], recorded: str = "ingested_at", ties: Sequence[Column] = ()) -> DataFrame:
     """One row for each key: the delivery with the largest ``recorded``.
 
-    Of deliveries recorded at one moment the one with the larger row hash holds, so the choice is the same on each
-    run. A null ``recorded`` counts as earliest; null keys form one group. The row_number filter becomes a window
-    group limit, which keeps one row per key and task before the shuffle, so a hot key sends few rows.
+    Of deliveries recorded at one moment the one with the largest ``ties`` holds, then the one with the larger hash of
+    the columns of ``df``, so the choice is the same on each run. Select the columns that are needed before: what is
+    in ``df`` is read. A null ``recorded`` counts as earliest; null keys form one group. The row_number filter becomes
+    a window group limit, which keeps one row per key and task before the shuffle, so a hot key sends few rows.
     """
     (rank,) = temp_names(df.columns, "delivery_rank")
-    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(
-        F.col(f"`{recorded}`").desc_nulls_last(), F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in df.dtypes]).desc()
-    )
+    rest = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in df.dtypes]).desc()
+    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(F.col(f"`{recorded}`").desc_nulls_last(), *[c.desc_nulls_last() for c in ties], rest)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores, dealt out to all of them; anything else as it is.
+    """A projection of a file scan with fewer splits than the cluster has cores, dealt out to all of them; anything else as it is.
 
-    For Python work that costs far more than moving its rows. A large table has more splits and is never shuffled; a
-    plan with a shuffle of its own isn't looked at, since counting its partitions would run it.
+    For Python work that costs far more than moving its rows. A large table has more splits and is never shuffled. What
+    kind of plan it is, its nodes say; a plan with a shuffle of its own isn't counted, since that would run it.
     """
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Scan" not in plan or any(x in plan for x in ("Exchange", "Join", "Aggregate", "Window", "Sort", "Union", "Limit")):
+    node = df._jdf.queryExecution().sparkPlan()
+    while node.nodeName() in ("Project", "Filter", "ColumnarToRow"):
+        node = node.children().head()
+    if not node.nodeName().startswith(("Scan", "BatchScan")):
         return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 

@@ -3,10 +3,10 @@
 import pytest
 from harness import same
 
-from foliospark.plans import catalog, problems, quantities
+from foliospark.plans import catalog, problems, quantities, site
 
-CORE = {k: f for m in (quantities, problems, catalog) for k, f in m.QUERIES.items()}
-ORACLE = {k: q for m in (quantities, problems, catalog) for k, q in m.SQL.items()}
+CORE = {k: f for m in (quantities, problems, catalog, site) for k, f in m.QUERIES.items()}
+ORACLE = {k: q for m in (quantities, problems, catalog, site) for k, q in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -1,11 +1,13 @@
 import json
+import re
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.operators import links, ranking
-from foliospark.sources import feeds, folders
+from foliospark.sources import feeds, folders, store
 from foliospark.streaming import schedule
 
 
@@ -62,14 +64,99 @@ def test_schedule_of_a_day(spark):
     assert due("2026-01-01 06:00:00") == ["research", "translate"] and due("2026-01-01 01:00:00") == due("2026-01-01 06:01:00") == []
 
 
+STREAM = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType()), T.StructField("at", T.LongType())])
+
+
+def feed(spark, tmp_path, name, rows, check="check"):
+    (tmp_path / "src").mkdir(exist_ok=True)
+    (tmp_path / "src" / name).write_text("\n".join(json.dumps(dict(zip(("k", "v", "at"), r))) for r in rows))
+    q = schedule.refresh_stream(spark, str(tmp_path / "src"), STREAM, "k", "at", str(tmp_path / "store"), str(tmp_path / check))
+    q.awaitTermination(120)
+    assert q.exception() is None
+    return {(r.k, r.v) for r in schedule.current_store(spark, str(tmp_path / "store")).collect()}
+
+
 def test_refresh_stream(spark, tmp_path):
-    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType()), T.StructField("at", T.LongType())])
-    src, target, check = (str(tmp_path / x) for x in ("src", "store", "check"))
-    (tmp_path / "src").mkdir()
-    for name, rows in (("1.json", [("a", 1, 1), ("b", 1, 1)]), ("2.json", [("a", 2, 2), ("b", 0, 0)])):
-        (tmp_path / "src" / name).write_text("\n".join(json.dumps(dict(zip(("k", "v", "at"), r))) for r in rows))
-        schedule.refresh_stream(spark, src, schema, "k", "at", target, check).awaitTermination(120)
-    assert {(r.k, r.v) for r in schedule.current_store(spark, target).collect()} == {("a", 2), ("b", 1)} and schedule.current_store(spark, str(tmp_path / "none")) is None
+    assert feed(spark, tmp_path, "1.json", [("a", 1, 1), ("b", 1, 1)]) == {("a", 1), ("b", 1)}
+    assert feed(spark, tmp_path, "2.json", [("a", 2, 2), ("b", 0, 0)]) == {("a", 2), ("b", 1)}
+    assert schedule.current_store(spark, str(tmp_path / "none")) is None
+
+
+def test_a_store_loses_nothing(spark, tmp_path):
+    feed(spark, tmp_path, "1.json", [(f"k{i}", 1, 1) for i in range(200)])
+    got = feed(spark, tmp_path, "2.json", [("k1", 2, 2)])
+    manifests = sorted(f for f in (tmp_path / "store" / "manifests").iterdir() if f.suffix == ".json")
+    data = {f.name for f in (tmp_path / "store" / "data").iterdir()}
+    assert len(manifests) == 2 and len(list((tmp_path / "store" / "data" / max(data)).glob("bucket=*"))) == 1
+    manifests[-1].write_text("{half a manif")  # torn
+    assert {(r.k, r.v) for r in schedule.current_store(spark, str(tmp_path / "store")).collect()} == {(f"k{i}", 1) for i in range(200)}
+    manifests[-1].unlink()  # gone
+    assert feed(spark, tmp_path, "3.json", [("new", 1, 1)]) == {(f"k{i}", 1) for i in range(200)} | {("new", 1)}
+    # a lost checkpoint: all files come again, in a first batch
+    assert feed(spark, tmp_path, "3.json", [("new", 1, 1)], "other") == got | {("new", 1)}
+    for f in (tmp_path / "store" / "manifests").iterdir():
+        f.write_text("torn")
+    with pytest.raises(OSError):
+        schedule.current_store(spark, str(tmp_path / "store"))
+
+
+def test_refresh_store(spark, root, tmp_path_factory):
+    pytest.importorskip("yaml")
+    target = str(tmp_path_factory.mktemp("out") / "store")
+    act = lambda: {r.run_id: r.action for r in folders.refresh_store(spark, str(root), "summary-card.yaml", target).collect()}
+    held = lambda: {r.run_id: r.text for r in store.current(spark, target).collect()}
+    first = act()
+    assert first["20260101000000-alpha"] == "loaded" and first["20260102000000-beta"] == "skipped" and set(held()) == {"20260101000000-alpha", "no-timestamp"}
+    assert act() == {**first, "20260101000000-alpha": "reused", "no-timestamp": "reused"}
+    (root / "20260101000000-alpha" / "summary-card.yaml").write_text("a: [2\n")
+    (root / "20260102000000-beta" / "summary-card.yaml").write_text("a: 3\n")
+    (root / "no-timestamp" / "summary-card.yaml").unlink()
+    before = held()
+    third = act()
+    assert (third["20260101000000-alpha"], third["20260102000000-beta"], third["no-timestamp"]) == ("skipped", "loaded", "pruned")
+    assert held() == {"20260101000000-alpha": before["20260101000000-alpha"], "20260102000000-beta": '{"a":3}'}
+    assert act()["20260101000000-alpha"] == "skipped" and [r.run_id for r in folders.listing(spark, str(root), "summary-card.yaml").collect()][0] == "20260105000000-twice"
+
+
+def test_search_index_and_sitemap_files(spark, tmp_path):
+    docs = spark.createDataFrame([(f"/{i}/", f"T “{i}”", "", 1.5, None, "x") for i in range(7)], "href string, title string, sector string, rating double, date string, search_text string")
+    for name, files in (("one", 1), ("many", 3), ("none", 2)):
+        feeds.write_search_index(docs.limit(0) if name == "none" else docs, str(tmp_path / name), files)
+        got = sorted(tuple(r) for r in folders.search_index(spark, str(tmp_path / name)).collect())
+        assert got == ([] if name == "none" else sorted(tuple(r) for r in docs.collect()))
+    (one,) = (tmp_path / "one").glob("part-*")
+    assert [d["searchText"] for d in json.loads(one.read_text())] == ["x"] * 7
+    feeds.write_sitemap(spark.range(25).selectExpr("concat('<url><loc>', id, '</loc></url>') as xml"), str(tmp_path / "map"), 10)
+    parts = [ElementTree.parse(f).getroot() for f in (tmp_path / "map").glob("part-*")]
+    assert sum(len(p) for p in parts) == 25 and all(len(p) <= 10 for p in parts) and len(ElementTree.parse(tmp_path / "map" / "sitemap-index.xml").getroot()) == len(parts)
+    assert feeds.rfc_822("2024-01-05") == "Fri, 05 Jan 2024 00:00:00 GMT" and feeds.rfc_822("soon") is None
+
+
+def test_a_scan_reads_what_is_used(spark, sf):
+    from foliospark.plans import catalog
+
+    plan = catalog.current_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    (schema,) = set(re.findall(r"ReadSchema: (struct<.*?>)(?:\n|$)", plan))
+    assert schema == "struct<run_id:string,revision:struct<status:string>,ingested_at:timestamp_ntz>"
+
+
+def test_spread_looks_at_nodes_not_names(spark, tmp_path):
+    from foliospark.tables import spread
+
+    spark.range(3).selectExpr("id as Sort_key", "id as `Join`").coalesce(1).write.parquet(str(tmp_path / "Window.parquet"))
+    df = spark.read.parquet(str(tmp_path / "Window.parquet"))
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(df.distinct()) is not None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from foliospark.tables import scratch_dir
+
+    session = lambda master, conf: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: conf), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError):
+        scratch_dir(session("spark://host:7077", None))
+    assert scratch_dir(session("spark://host:7077", "hdfs:///x/")) == "hdfs:///x" and scratch_dir(session("local[4]", None))
 
 
 def test_manifest_of_nothing_prunes_all(spark):

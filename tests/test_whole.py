@@ -27,12 +27,15 @@ def test_feed_has_every_current_card_in_both_locales(spark, sf, tmp_path):
     more = read(spark, sf, "report_card").crossJoin(spark.range(4)).withColumn("run_id", F.concat_ws("-", "run_id", "id")).drop("id")
     more.write.parquet(str(tmp_path / "report_card.parquet"))
     sf = str(tmp_path)
-    cards = sorted(catalog.current(spark, sf).select("run_id", "headline", "run_date", "company").collect(), key=lambda r: r.run_id, reverse=True)
+    cards = sorted(catalog.current(spark, sf, "headline", "run_date", "company").collect(), key=lambda r: r.run_id, reverse=True)
+    zh = {c.run_id: ("译文" + c.run_id if i % 3 else "  ") for i, c in enumerate(cards) if i % 2}
+    spark.createDataFrame([(i, r, t, "zh-CN", "card-headline") for i, (r, t) in enumerate(zh.items())], "doc_id long, run_id string, text string, lang string, artifact string").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.feed_items(spark, sf).collect()
     assert len(cards) > 20 and len(got) == 2 * len(cards)
-    for zh in (False, True):
-        mine = [r for r in got if r.link.startswith("/zh/") == zh]
-        assert [(r.title, r.description, r.pub_date) for r in mine] == [(c.company.name, c.headline, c.run_date) for c in cards]
+    for second in (False, True):
+        mine = [r for r in got if r.link.startswith("/zh/") == second]
+        said = lambda c: zh[c.run_id] if second and zh.get(c.run_id, " ").strip() else c.headline
+        assert [(r.title, r.description, r.pub_date) for r in mine] == [(c.company.name, said(c), c.run_date) for c in cards]
         assert all(c.run_id[15:] in r.link for r, c in zip(mine, cards))
 
 
