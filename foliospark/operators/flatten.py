@@ -191,24 +191,41 @@ def _label(v, *names) -> str | None:
     return None if v is None or isinstance(v, (dict, list)) else v if isinstance(v, str) else json.dumps(v)
 
 
-def shape_report(text: str) -> dict | None:
-    """A report payload, however it is wrapped, in the form of ``REPORT``; None if it can't be read."""
-    try:
-        v = json.loads(text)
-        for _ in range(8):
-            if isinstance(v, dict) and ("chapters" in v or "tables" in v):
-                break
-            if isinstance(v, str):
+def reports_in(payload) -> list[dict]:
+    """The reports of a payload, a JSON text or its value: the objects with chapters or tables, in order, under whatever lists, objects and JSON texts; what ``report`` holds, where that has any, comes alone."""
+    found, todo = [], [payload]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, str):
+            if v.lstrip()[:1] not in ("{", "[", '"'):
+                continue
+            try:
                 v = json.loads(v)
-            elif isinstance(v, list):
-                v = next((x for x in v if x is not None), None)
-            elif isinstance(v, dict):
-                v = v["report"] if "report" in v else next((x for x in v.values() if isinstance(x, (dict, list))), None)
+            except (ValueError, RecursionError):
+                continue
+            todo.append(v)
+        elif isinstance(v, list):
+            todo += reversed([x for x in v if isinstance(x, (dict, list, str))])
+        elif isinstance(v, dict):
+            if "chapters" in v or "tables" in v:
+                found.append(v)
+            elif "report" in v and (inner := reports_in(v["report"])):
+                found += inner
             else:
-                return None
-    except (ValueError, RecursionError):
+                todo += reversed([x for k, x in v.items() if k != "report" and isinstance(x, (dict, list, str))])
+    return found
+
+
+def shape_report(text: str) -> dict | None:
+    """The reports of a payload, however they are wrapped, in the form of ``REPORT``; None if there is none.
+
+    Of several reports in one payload the chapters and tables follow one another, so each node has a path of its own.
+    """
+    try:
+        found = reports_in(text)
+    except RecursionError:
         return None
-    if not isinstance(v, dict):
+    if not found:
         return None
     get = lambda x, k: members(x.get(k), k) if isinstance(x, dict) else []
     item = lambda x: None if x is None else {"label": _label(x, "label", "text", "title", "value")}
@@ -241,7 +258,7 @@ def shape_report(text: str) -> dict | None:
         rows = x.get("rows")
         return {"label": _label(x, "title", "id"), "rows": [row(y, columns) for y in (rows if isinstance(rows, list) else members(rows, "rows"))]}
 
-    return {"label": None, "chapters": [chapter(x) for x in get(v, "chapters")], "tables": [table(x) for x in get(v, "tables")]}
+    return {"label": None, "chapters": [chapter(x) for v in found for x in get(v, "chapters")], "tables": [table(x) for v in found for x in get(v, "tables")]}
 
 
 def unwrapped(text: str):

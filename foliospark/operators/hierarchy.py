@@ -2,32 +2,36 @@
 
 Links are followed by doubling: after k rounds each node knows its ancestor 2**k steps up, so a tree of depth d takes
 about log2(d) rounds, not d. Subtree sizes are summed upward along the doubled links, children get disjoint preorder
-ranges by prefix sums over their siblings, and offsets are summed downward along the same links. A node that no round
-brings to a root stands on a circle of links, or below one.
+ranges by prefix sums over their siblings in the order of their names, and offsets are summed downward along the same
+links. A node that no round brings to a root stands on a circle of links, or below one. Paths, ancestors and
+descendants are then read off the ranges, in one sweep along them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.tables import cut, release
 
-SIBLING_BUCKETS = 64
-
 
 def nested_sets(df: DataFrame, node: str, parent: str, sep: str = ">") -> DataFrame:
     """Rows (node, parent, root, depth, path, lo, hi, descendants, cyclic), one for each node.
 
-    [lo, hi) is the node's preorder range within its root; its descendants are the nodes of the root with
-    lo < their lo < hi. Null nodes give nothing; of repeated nodes the smallest non-null parent holds; a parent that is
-    no node counts as none; a node that is its own parent is a circle. Cyclic nodes, and nodes below a circle, have
-    null root, depth, path, lo, hi and descendants. An empty table gives no rows; other columns are ignored.
+    [lo, hi) is the node's preorder range within its root, siblings in the order of their names; its descendants are the
+    nodes of the root with lo < their lo < hi. Null nodes give nothing; of repeated nodes the smallest non-null parent
+    holds; a parent that is no node counts as none; a node that is its own parent is a circle. Cyclic nodes, and nodes
+    below a circle, have null root, depth, path, lo, hi and descendants. An empty table gives no rows; other columns
+    are ignored.
 
     Each round is one join and one aggregation of all nodes on evenly spread keys: sizes are summed map-side before the
-    shuffle, and the join on the ancestor may be split by AQE where one ancestor is common. A parent with very many
-    children is numbered in 64 buckets, each by its own task.
+    shuffle, and the join on the ancestor may be split by AQE where one ancestor is common. Siblings are numbered in
+    ranges of their order, one row a range and parent being added up, so many tasks share a parent with very many
+    children. Paths are built once, by tasks that each sweep a stretch of the preorder (see ``paths``).
     """
     raw = df.select(F.col(f"`{node}`").cast("string").alias("node"), F.col(f"`{parent}`").cast("string").alias("parent")).filter("node is not null")
     nodes = raw.groupBy("node").agg(F.min("parent").alias("parent"))
@@ -36,7 +40,7 @@ def nested_sets(df: DataFrame, node: str, parent: str, sep: str = ">") -> DataFr
     state = cut(
         nodes.select(
             "node", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"),
-            F.coalesce("parent", "node").alias("top"), F.col("node").alias("path"), F.lit(1).cast("long").alias("size"),
+            F.coalesce("parent", "node").alias("top"), F.lit(1).cast("long").alias("size"),
         )
     )
     before, rounds = -1, 0
@@ -45,23 +49,23 @@ def nested_sets(df: DataFrame, node: str, parent: str, sep: str = ">") -> DataFr
         if active == 0 or active == before:
             break
         before, rounds = active, rounds + 1
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2"), F.col("path").alias("path2"))
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2"))
         below = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
         grown = (
             state.join(above, "up", "left")
             .select(
                 "node", "parent", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-                F.coalesce("top2", "top").alias("top"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", F.lit(sep), "path")).alias("path"), "size",
+                F.coalesce("top2", "top").alias("top"), "size",
             )
             .join(below, "node", "left")
-            .select("node", "parent", "up", "depth", "top", "path", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+            .select("node", "parent", "up", "depth", "top", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         )
         grown = cut(grown)
         release(state)
         state = grown
     cyclic = F.col("up").isNotNull()
-    sized = state.filter(~cyclic).select("node", "parent", "size", F.pmod(F.xxhash64("node"), F.lit(SIBLING_BUCKETS)).alias("b"))
-    kids = sized.filter("parent is not null")
+    sized = state.filter(~cyclic).select("node", "parent", "size")
+    kids = cut(sized.filter("parent is not null").repartitionByRange("parent", "node").withColumn("b", F.spark_partition_id()))
     inner = Window.partitionBy("parent", "b").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("parent").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = kids.groupBy("parent", "b").agg(F.sum("size").alias("block")).withColumn("ahead", F.coalesce(F.sum("block").over(outer), F.lit(0))).drop("block")
@@ -76,21 +80,64 @@ def nested_sets(df: DataFrame, node: str, parent: str, sep: str = ">") -> DataFr
         moved = cut(down.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("lo") + F.coalesce("lo2", F.lit(0))).alias("lo")))
         release(down)
         down = moved
-    ok = ~F.col("cyclic")
-    return (
-        state.withColumn("cyclic", cyclic)
-        .join(down.select("node", "lo"), "node", "left")
-        .select(
-            "node", "parent", F.when(ok, F.col("top")).alias("root"), F.when(ok, F.col("depth")).alias("depth"), F.when(ok, F.col("path")).alias("path"), "lo",
-            (F.col("lo") + F.col("size")).alias("hi"), F.when(ok, F.col("lo") + F.col("size") - 1 - F.col("lo")).alias("descendants"), "cyclic",
-        )
-    )
+    found = state.join(down.select("node", "lo"), "node", "left").select(
+        "node", "parent", F.when(~cyclic, F.col("top")).alias("root"), F.when(~cyclic, F.col("depth")).alias("depth"), "lo", (F.col("lo") + F.col("size")).alias("hi"), cyclic.alias("cyclic")
+    )
+    sets = cut(found)
+    release(state)
+    release(down)
+    named = paths(sets.filter("not cyclic"), sep).unionByName(sets.filter("cyclic").withColumn("path", F.lit(None).cast("string")))
+    return named.select("node", "parent", "root", "depth", "path", "lo", "hi", (F.col("hi") - F.col("lo") - 1).alias("descendants"), "cyclic")
 
 
 def ancestors(sets: DataFrame, of: DataFrame, node: str) -> DataFrame:
-    """Rows (node, ancestor) for each node in the stated set ``of``: the nodes of its root whose range holds it.
+    """Rows (node, ancestor) for each node in ``of``: the nodes of its root whose range holds its place.
 
-    The paths carry the same chain, so the ranges are read off the path and no range join over a root is needed.
+    A range of size n holds the places of all n - 1 nodes below, so a join on the ranges meets exactly the answers'
+    candidates of one root; for few asked nodes. For all nodes of a table sweep once with ``paths``.
     """
-    want = of.select(F.col(f"`{node}`").cast("string").alias("node")).distinct()
-    return sets.join(want, "node", "left_semi").filter("not cyclic").select("node", F.explode(F.split("path", ">")).alias("ancestor")).filter("ancestor <> node")
+    want = of.select(F.col(f"`{node}`").cast("string").alias("node")).distinct().join(sets.select("node", "root", F.col("lo").alias("place")), "node")
+    above = sets.filter("hi - lo > 1").select("root", "lo", "hi", F.col("node").alias("ancestor"))
+    return want.join(above, "root").filter("lo < place and place < hi").select("node", "ancestor")
+
+
+def descendants(sets: DataFrame, of: DataFrame, node: str) -> DataFrame:
+    """Rows (node, descendant) for each node in ``of``: the nodes of its root whose place its range holds."""
+    want = of.select(F.col(f"`{node}`").cast("string").alias("node")).distinct().join(sets.select("node", "root", "lo", "hi"), "node").filter("hi - lo > 1")
+    return want.join(sets.select("root", F.col("lo").alias("place"), F.col("node").alias("descendant")), "root").filter("lo < place and place < hi").select("node", "descendant")
+
+
+def paths(sets: DataFrame, sep: str = ">") -> DataFrame:
+    """Adds ``path``, the names from the root to each node.
+
+    Nodes are laid out in preorder over the tasks. A task sweeps its stretch with a stack of the ranges that are open;
+    what is open where a stretch begins are the ranges that hold its first place, met by one row a task.
+    """
+    laid = cut(sets.repartitionByRange("root", "lo").withColumn("task", F.spark_partition_id()))
+    heads = laid.groupBy("task").agg(F.min(F.struct("root", "lo")).alias("h")).select("task", F.col("h.root").alias("root"), F.col("h.lo").alias("place"))  # one row a task
+    above = laid.filter("hi - lo > 1").select("root", "lo", "hi", "node").join(F.broadcast(heads), "root").filter("lo < place and place < hi")
+    open_there = above.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "node"))).alias("open"))  # no more than the depth
+    first = heads.join(open_there, "task", "left").select("task", F.col("place").alias("lo"), "root", "open")
+    given = laid.join(F.broadcast(first), ["task", "root", "lo"], "left").repartition("task").sortWithinPartitions("task", "root", "lo")
+    columns = sets.columns
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, root, stack = None, None, []  # of (hi, path)
+        for b in batches:
+            out = []
+            for t, r, lo, hi, n, opened in zip(*(b.column(c).to_pylist() for c in ("task", "root", "lo", "hi", "node", "open"))):
+                if t != task or r != root:
+                    stack = []
+                    if t != task:
+                        for o in opened or []:
+                            stack.append((o["hi"], f"{stack[-1][1]}{sep}{o['node']}" if stack else o["node"]))
+                    task, root = t, r
+                while stack and stack[-1][0] <= lo:
+                    stack.pop()
+                out.append(f"{stack[-1][1]}{sep}{n}" if stack else n)
+                if hi - lo > 1:
+                    stack.append((hi, out[-1]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out, pa.string())], names=[*columns, "path"])
+
+    kinds = ", ".join(f"{n} {t}" for n, t in sets.dtypes)
+    return given.select("task", "open", *columns).mapInArrow(sweep, f"{kinds}, path string")

@@ -9,6 +9,7 @@ overwritten: each belief keeps the period in which it was held.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -80,6 +81,31 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
 
+def _sweep_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each asking moment the nearest earlier (or, ``ahead``, later) bucket with something recorded no later.
+
+    Rows are sorted along each (entity, direction), a bucket's askers before the bucket itself, which has no moment.
+    The stack holds the buckets passed that no nearer one undercuts, so a binary search finds the answer; it has at
+    most one entry a bucket.
+    """
+    group, buckets, leasts = None, [], []
+    for b in batches:
+        out = []
+        for e, ahead, bucket, moment, first in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if (e, ahead) != group:
+                group, buckets, leasts = (e, ahead), [], []
+            if moment is None:
+                while leasts and leasts[-1] >= first:
+                    leasts.pop()
+                    buckets.pop()
+                leasts.append(first)
+                buckets.append(bucket)
+            elif k := bisect_right(leasts, first):
+                out.append((e, moment, first, ahead, buckets[k - 1]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()))], names=["entity", "moment", "first", "ahead", "near"])
+
+
 def bitemporal_ledger(df: DataFrame, entity: str, moment: str, recorded: str, attributes: Sequence[str], bucket: Column | None = None) -> DataFrame:
     """Rows (entity, attributes, valid_from, valid_to, recorded_from, recorded_to) of every belief ever held.
 
@@ -108,15 +134,13 @@ def bitemporal_ledger(df: DataFrame, entity: str, moment: str, recorded: str, at
         .sortWithinPartitions("entity", "bucket", "moment")
         .mapInArrow(_sweep, "entity string, bucket string, moment string, first long, before string, after string")
     )
-    days = firsts.groupBy("entity", "bucket").agg(F.min("first").alias("least"))
-    days = days.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("bucket", "least"))).alias("days"))
-    open_ends = swept.filter("before is null or after is null").join(days, "entity").select(
-        "entity", "moment", "first", "before", "after",
-        F.expr("try_element_at(filter(days, d -> d.bucket < bucket and d.least <= first), -1).bucket").alias("back"),
-        F.expr("get(filter(days, d -> d.bucket > bucket and d.least <= first), 0).bucket").alias("ahead"),
-    )
-    asked = open_ends.filter("before is null and back is not null").select("entity", F.col("back").alias("bucket"), "first", F.col("moment").alias("asker"), F.lit(True).alias("backward"))
-    asked = asked.unionByName(open_ends.filter("after is null and ahead is not null").select("entity", F.col("ahead").alias("bucket"), "first", F.col("moment").alias("asker"), F.lit(False).alias("backward")))
+    days = firsts.groupBy("entity", "bucket").agg(F.min("first").alias("first")).withColumn("moment", F.lit(None).cast("string"))
+    ends = swept.filter("before is null or after is null")
+    lines = [days.withColumn("ahead", F.lit(x)).unionByName(ends.filter(f"{side} is null").select("entity", "bucket", "first", "moment", F.lit(x).alias("ahead"))) for side, x in (("before", False), ("after", True))]
+    along = [F.when(~F.col("ahead"), F.col("bucket")), F.when(F.col("ahead"), F.col("bucket")).desc(), F.col("moment").desc_nulls_last()]
+    steps = lines[0].unionByName(lines[1]).repartition("entity", "ahead").sortWithinPartitions("entity", "ahead", *along)
+    open_ends = steps.select("entity", "ahead", "bucket", "moment", "first").mapInArrow(_sweep_days, "entity string, moment string, first long, ahead boolean, near string")
+    asked = open_ends.select("entity", F.col("near").alias("bucket"), "first", F.col("moment").alias("asker"), (~F.col("ahead")).alias("backward"))
     base = firsts.select("entity", "bucket", "first", F.lit(None).cast("string").alias("asker"), F.lit(None).cast("boolean").alias("backward"), "moment")
     upto = Window.partitionBy("entity", "bucket").orderBy("first").rangeBetween(Window.unboundedPreceding, 0)
     found = (
@@ -148,9 +172,12 @@ def bitemporal_ledger(df: DataFrame, entity: str, moment: str, recorded: str, at
     )
 
 
-def versions(ledger: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """What holds now, with neighbouring intervals of equal attributes joined: entity, attributes, valid_from, valid_to."""
-    same = F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{a}`").cast("string"), F.lit("\u0000")) for a in attributes])
-    now = cut(ledger.filter("recorded_to is null").select("entity", *[f"`{a}`" for a in attributes], "valid_from", F.substring("valid_from", 1, 8).alias("_day"), same.alias("_print")))
-    starts = shifted(now, "entity", "_day", "valid_from", "_print", "_prior", ahead=False).filter("_prior is null or _prior <> _print").drop("_prior", "_print")
+def versions(ledger: DataFrame, attributes: Sequence[str], bucket: Column | None = None) -> DataFrame:
+    """What holds now, with neighbouring intervals of equal attributes joined: entity, attributes, valid_from, valid_to.
+
+    Attributes are compared as values, null and null being equal. ``bucket`` is that of the ledger, of ``valid_from``.
+    """
+    part = F.substring("valid_from", 1, 8) if bucket is None else bucket
+    now = cut(ledger.filter("recorded_to is null").select("entity", *[f"`{a}`" for a in attributes], "valid_from", part.alias("_day"), F.struct(*[F.col(f"`{a}`") for a in attributes], F.lit(True)).alias("_print")))
+    starts = shifted(now, "entity", "_day", "valid_from", "_print", "_prior", ahead=False).filter(~F.col("_prior").eqNullSafe(F.col("_print"))).drop("_prior", "_print")
     return shifted(starts, "entity", "_day", "valid_from", "valid_from", "valid_to", ahead=True).drop("_day")

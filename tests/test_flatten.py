@@ -20,6 +20,16 @@ def test_wrappings_and_containers_give_the_same_nodes(spark):
     assert ("r0", "chapters[0].sections[0].blocks[0].items[2]", "chapters[0].sections[0].blocks[0]", "item") in got
 
 
+def test_deep_wrappings_and_several_reports(spark):
+    nine = {"chapters": [CHAPTER]}
+    for i in range(40):
+        nine = [{"body": nine}, [nine], {"report": nine}, json.dumps(nine)][i % 4] if i < 12 else {"w": [nine]}
+    beside = {"meta": {"made": "[2024]", "by": "x"}, "body": {"report": None, "x": {"chapters": [CHAPTER]}}}
+    got = nodes(spark, nine, beside, [{"chapters": [CHAPTER]}, None, {"tables": [{"rows": []}], "chapters": [CHAPTER]}])
+    paths = lambda k: {p for r, p, *_ in got if r == k}
+    assert paths("r0") == paths("r1") == PATHS and paths("r2") == PATHS | {p.replace("chapters[0]", "chapters[1]") for p in PATHS} | {"tables[0]"}
+
+
 def test_member_order_of_maps(spark):
     got = nodes(spark, {"chapters": {"10": {"title": "x", "sections": None}, "2": CHAPTER}})
     assert ("r0", "chapters[1].sections[0]", "chapters[1]", "section") in got

@@ -1,6 +1,6 @@
 import random
 
-from foliospark.operators.hierarchy import ancestors, nested_sets
+from foliospark.operators.hierarchy import ancestors, descendants, nested_sets
 
 
 def brute(parent):
@@ -56,6 +56,27 @@ def test_null_empty_and_repeated_rows(spark):
     assert set(got) == {"a", "b"} and got["a"].path == "b>a" and got["b"].depth == 0
 
 
-def test_ancestors(spark):
-    sets = nested_sets(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, up string"), "id", "up")
-    assert {r.ancestor for r in ancestors(sets, spark.createDataFrame([("c",)], "id string"), "id").collect()} == {"a", "b"}
+def test_ancestors_and_descendants(spark):
+    rng = random.Random(5)
+    parent = {f"n{i:02}": None if i < 3 else f"n{rng.randrange(i):02}" for i in range(50)}
+    sets = nested_sets(spark.createDataFrame(list(parent.items()), "id string, up string"), "id", "up").cache()
+    asked, want = spark.createDataFrame([("n07",), ("n31",), ("n02",), ("none",)], "id string"), brute(parent)
+    assert {(r.node, r.ancestor) for r in ancestors(sets, asked, "id").collect()} == {(n, a) for n in ("n07", "n31", "n02") for a in want[n][:-1]}
+    assert {(r.node, r.descendant) for r in descendants(sets, asked, "id").collect()} == {(n, d) for n in ("n07", "n31", "n02") for d, p in want.items() if n in p[:-1]}
+
+
+def test_preorder_is_the_order_of_paths_over_any_partitions(spark):
+    rng = random.Random(6)
+    parent = {f"n{i:03}": None if i < 2 else f"n{max(0, i - rng.choice([1, 1, 1, 9])):03}" for i in range(300)}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = run(spark, parent)
+            for root in {r.root for r in got.values()}:
+                mine = sorted((r for r in got.values() if r.root == root), key=lambda r: r.path.split(">"))
+                assert [r.lo for r in mine] == list(range(len(mine))) and all(r.path == ">".join(brute(parent)[r.node]) for r in mine[:60])
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
