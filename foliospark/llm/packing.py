@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANK_BUCKETS = 64
+#: items that one task ranks, of one length at most
+RANKED = 200_000
+#: size up to which the ranges go to the tasks by broadcast, and that of one range
+BROADCAST_BYTES, RANGE_BYTES = 8_000_000, 40
 
 
 def packing_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, Counter]]:
@@ -77,8 +80,8 @@ def pack(sizes: DataFrame, item: str, size: str, containers: list[tuple[str, int
     no rows. Equal sizes are told apart by item and a row hash, so the result doesn't depend on the partitioning,
     except among repeated items, which are interchangeable.
 
-    A length that very many items share is ranked in 64 buckets. Patterns number at most two per length; the ranges go
-    to the tasks by broadcast while they are under 200,000, else by a join.
+    A length that very many items share is ranked in as many buckets as keep each under some 200,000 items. The ranges
+    go to the tasks by broadcast up to 8 MB, as measured, else by a join; the rows are the same.
     """
     spark: SparkSession = sizes.sparkSession
     src = sizes.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("size"))
@@ -89,7 +92,8 @@ def pack(sizes: DataFrame, item: str, size: str, containers: list[tuple[str, int
         .select("item", F.col("s.kind").alias("kind"), F.col("s.cap").alias("cap"), F.col("size").alias("whole"), F.explode(F.expr("sequence(0L, greatest(0L, (size - 1) div s.cap))")).alias("piece"))
         .select("item", "kind", "piece", (F.col("piece") * F.col("cap")).alias("first_unit"), F.least("cap", F.col("whole") - F.col("piece") * F.col("cap")).alias("n"))
     )
-    bucketed = pieces.withColumn("b", F.pmod(F.xxhash64("item", "piece"), F.lit(RANK_BUCKETS)))
+    buckets = 1 + src.count() // RANKED
+    bucketed = pieces.withColumn("b", F.pmod(F.xxhash64("item", "piece"), F.lit(buckets)))
     counts = bucketed.filter("n > 0").groupBy("kind", "n", "b").agg(F.count("*").alias("c"))
     histograms: dict[str, dict[int, int]] = {k: {} for k, _ in kinds}
     for r in counts.groupBy("kind", "n").agg(F.sum("c").alias("c")).collect():
@@ -99,7 +103,7 @@ def pack(sizes: DataFrame, item: str, size: str, containers: list[tuple[str, int
     for k, length, lo, hi, base, each in ranges:
         by_length.setdefault((k, length), []).append((lo, hi, base, each))
     table = spark.createDataFrame([(k, n, v) for (k, n), v in by_length.items()], "kind string, n long, spots array<struct<lo:long,hi:long,base:long,each:long>>")
-    if len(ranges) < 200_000:
+    if len(ranges) * RANGE_BYTES <= BROADCAST_BYTES:
         table = F.broadcast(table)
     before = Window.partitionBy("kind", "n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("ahead", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
