@@ -65,7 +65,7 @@ def nested_sets(df: DataFrame, node: str, parent: str, sep: str = ">") -> DataFr
         state = grown
     cyclic = F.col("up").isNotNull()
     sized = state.filter(~cyclic).select("node", "parent", "size")
-    kids = cut(sized.filter("parent is not null").repartitionByRange("parent", "node").withColumn("b", F.spark_partition_id()))
+    kids = numbered = cut(sized.filter("parent is not null").repartitionByRange("parent", "node").withColumn("b", F.spark_partition_id()))
     inner = Window.partitionBy("parent", "b").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("parent").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = kids.groupBy("parent", "b").agg(F.sum("size").alias("block")).withColumn("ahead", F.coalesce(F.sum("block").over(outer), F.lit(0))).drop("block")
@@ -75,18 +75,23 @@ def nested_sets(df: DataFrame, node: str, parent: str, sep: str = ">") -> DataFr
             sized.filter("parent is null").select("node", F.col("parent").alias("up"), F.lit(0).cast("long").alias("lo"))
         )
     )
-    for _ in range(rounds):
+    last = down
+    if active:  # the last round moved nothing but circles
+        rounds -= 1
+    for k in range(rounds):
         above = down.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("lo").alias("lo2"))
-        moved = cut(down.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("lo") + F.coalesce("lo2", F.lit(0))).alias("lo")))
-        release(down)
+        moved = down.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("lo") + F.coalesce("lo2", F.lit(0))).alias("lo"))
+        if k < rounds - 1:
+            moved = cut(moved)
+            release(down)
+            last = moved
         down = moved
     found = state.join(down.select("node", "lo"), "node", "left").select(
         "node", "parent", F.when(~cyclic, F.col("top")).alias("root"), F.when(~cyclic, F.col("depth")).alias("depth"), "lo", (F.col("lo") + F.col("size")).alias("hi"), cyclic.alias("cyclic")
     )
-    sets = cut(found)
-    release(state)
-    release(down)
-    named = paths(sets.filter("not cyclic"), sep).unionByName(sets.filter("cyclic").withColumn("path", F.lit(None).cast("string")))
+    named = paths(found, sep)
+    for spent in (state, numbered, last):
+        release(spent)
     return named.select("node", "parent", "root", "depth", "path", "lo", "hi", (F.col("hi") - F.col("lo") - 1).alias("descendants"), "cyclic")
 
 
@@ -108,13 +113,13 @@ def descendants(sets: DataFrame, of: DataFrame, node: str) -> DataFrame:
 
 
 def paths(sets: DataFrame, sep: str = ">") -> DataFrame:
-    """Adds ``path``, the names from the root to each node.
+    """Adds ``path``, the names from the root to each node; null for a node without a root.
 
     Nodes are laid out in preorder over the tasks. A task sweeps its stretch with a stack of the ranges that are open;
     what is open where a stretch begins are the ranges that hold its first place, met by one row a task.
     """
     laid = cut(sets.repartitionByRange("root", "lo").withColumn("task", F.spark_partition_id()))
-    heads = laid.groupBy("task").agg(F.min(F.struct("root", "lo")).alias("h")).select("task", F.col("h.root").alias("root"), F.col("h.lo").alias("place"))  # one row a task
+    heads = laid.filter("root is not null").groupBy("task").agg(F.min(F.struct("root", "lo")).alias("h")).select("task", F.col("h.root").alias("root"), F.col("h.lo").alias("place"))  # one row a task
     above = laid.filter("hi - lo > 1").select("root", "lo", "hi", "node").join(F.broadcast(heads), "root").filter("lo < place and place < hi")
     open_there = above.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "node"))).alias("open"))  # no more than the depth
     first = heads.join(open_there, "task", "left").select("task", F.col("place").alias("lo"), "root", "open")
@@ -126,6 +131,9 @@ def paths(sets: DataFrame, sep: str = ">") -> DataFrame:
         for b in batches:
             out = []
             for t, r, lo, hi, n, opened in zip(*(b.column(c).to_pylist() for c in ("task", "root", "lo", "hi", "node", "open"))):
+                if r is None:
+                    out.append(None)
+                    continue
                 if t != task or r != root:
                     stack = []
                     if t != task:

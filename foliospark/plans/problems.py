@@ -135,14 +135,7 @@ gone as (select ref_field, substr(run_id, 1, 4) || '-' || substr(run_id, 5, 2) r
  where ref_id <> '' and not exists (select 1 from ids where ids.run_id = refs.run_id and ids.kind = refs.kind and upper(ids.id) = refs.ref_id))
 """
 
-SQL = {
-    "p2_found": f"""
-with r as (select *, coalesce(slug, substr(run_id, 16)) sl, substr(run_id, 1, 14) ts, {_LAST.format(k="run_id")} rn from report_card),
-m as (select sl, ts, [{_PRINT}]::varchar f from r where rn = 1),
-c as (select sl, ts, f, lag(f) over (partition by sl order by ts) p from m),
-v as (select sl, ts from c where p is null or p <> f)
-select sl slug, ts valid_from, coalesce(lead(ts) over (partition by sl order by ts), '') valid_to from v""",
-    "p3_found": rf"""
+_P3 = rf"""
 with recursive r as (select run_id, regexp_replace(revision.refresh_of_run_id, '{_TRIM}', '', 'g') said, regexp_replace(revision.superseded_by_run_id, '{_TRIM}', '', 'g') by0,
  {_LAST.format(k="run_id")} rn from report_card),
 l as (select run_id, said, regexp_extract(lower(said), '([0-9]{{14}}-[^/]+)', 1) up, regexp_extract(lower(by0), '([0-9]{{14}}-[^/]+)', 1) by1 from r where rn = 1),
@@ -152,9 +145,29 @@ n as (select p.run_id, q.run_id parent from p left join p q on q.run_id = p.pare
 t as (select run_id, run_id root, 0 depth, run_id path from n where parent is null
  union all select n.run_id, t.root, t.depth + 1, t.path || '>' || n.run_id from n join t on n.parent = t.run_id),
 a as (select unnest(string_split(path, '>')) run_id from t),
-d as (select run_id, count(*) - 1 descendants from a group by run_id)
+d as (select run_id, count(*) - 1 descendants from a group by run_id)"""
+
+SQL = {
+    "p2_found": f"""
+with r as (select *, coalesce(slug, substr(run_id, 16)) sl, substr(run_id, 1, 14) ts, {_LAST.format(k="run_id")} rn from report_card),
+m as (select sl, ts, [{_PRINT}]::varchar f from r where rn = 1),
+c as (select sl, ts, f, lag(f) over (partition by sl order by ts) p from m),
+v as (select sl, ts from c where p is null or p <> f)
+select sl slug, ts valid_from, coalesce(lead(ts) over (partition by sl order by ts), '') valid_to from v""",
+    "p2_ledger": f"""
+with c as (select coalesce(slug, substr(run_id, 16)) sl, substr(run_id, 1, 14) m, coalesce(ingested_at, timestamp '0001-01-01') rec, [{_PRINT}] f from report_card),
+b as (select sl, m, min(rec) born from c group by all),
+t as (select distinct sl, m, rec as seen, true own from c union select a.sl, a.m, l.born, false from b a join b l on l.sl = a.sl and l.m > a.m and l.born >= a.born),
+u as (select sl, m, seen, bool_or(own) own from t group by all),
+x as (select u.*, (select max_by(f, rec) from c where c.sl = u.sl and c.m = u.m and c.rec <= u.seen) f, (select min(l.m) from b l where l.sl = u.sl and l.m > u.m and l.born <= u.seen) until from u),
+y as (select *, lag(until) over w prior, row_number() over w k from x window w as (partition by sl, m order by seen)),
+z as (select * from y where own or k = 1 or until is distinct from prior)
+select sl slug, {", ".join(f"f[{i + 1}] {m}" for i, m in enumerate(METRICS))}, m valid_from, until valid_to, seen recorded_from, lead(seen) over (partition by sl, m order by seen) recorded_to from z""",
+    "p3_found": _P3 + """
 select n.run_id, coalesce(t.root, '') root_run_id, coalesce(t.depth, -1)::bigint depth, coalesce(d.descendants, -1)::bigint descendants, coalesce(t.path, '') run_path
 from n left join t using (run_id) left join d using (run_id)""",
+    "p3_nested_sets": _P3 + """, pre as (select run_id, row_number() over (partition by root order by string_split(path, '>')) - 1 lo from t)
+select n.run_id, n.parent, t.root, lo, lo + descendants + 1 hi, t.run_id is null as cyclic from n left join t using (run_id) left join d using (run_id) left join pre using (run_id)""",
     "p5_found": _P5 + " select * from gone",
     "p5_orphans_by_month": _P5 + " select ref_field, run_month, count(*) dead_refs, count(distinct owner_key) owners from gone group by all",
 }
