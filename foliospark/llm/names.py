@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -290,21 +291,30 @@ def person_keys(name: str) -> list[tuple[str, list[str]]]:
 
 
 def person_candidates(names: DataFrame) -> DataFrame:
-    """Pairs (scope, a, b), a < b, that share a key and a mark of ``person_keys``: exact where one written-out token at least meets another one.
+    """Pairs (scope, a, b), a < b, that share a key and (but for few more) a mark of ``person_keys``: exact where one written-out token at least meets another one.
 
     Complements the q-grams, of which an initial shares none with the name that it stands for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k, m) for i, n in enumerate(b.column(1).to_pylist()) for k, m in person_keys(n)]
+            rows = [(i, k, mask(m)) for i, n in enumerate(b.column(1).to_pylist()) for k, m in person_keys(n)]
             at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["scope", "name", "key", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["scope", "name", "key", "marks"])
 
-    held = names.select("scope", "name").repartition(tasks(names)).mapInArrow(run, "scope string, name string, key string, marks array<string>")
-    side = lambda x: held.select("scope", "key", F.col("name").alias(x), F.col("marks").alias(f"m{x}"))
-    met = side("a").join(side("b"), ["scope", "key"]).filter("a < b and (size(ma) = 0 or size(mb) = 0 or arrays_overlap(ma, mb))")
-    return met.select("scope", "a", "b").distinct()
+    held = names.select("scope", "name").repartition(tasks(names)).mapInArrow(run, "scope string, name string, key string, marks long")
+    held = held.select(F.xxhash64("scope", "key").alias("h"), "scope", "name", "marks")  # equal hashes of other keys only make a pair to be verified
+    side = lambda x: held.select("h", F.col("scope").alias(f"s{x}"), F.col("name").alias(x), F.col("marks").alias(f"m{x}"))
+    met = side("a").join(side("b"), "h").filter("a < b and (ma = 0 or mb = 0 or (ma & mb) <> 0) and sa = sb")
+    return met.select(F.col("sa").alias("scope"), "a", "b").distinct()
+
+
+def mask(marks: Iterable[str]) -> int:
+    """A set of marks as 63 bits: sets with a common mark have a common bit, others seldom; 0 for none."""
+    out = 0
+    for m in marks:
+        out |= 1 << zlib.crc32(m.encode()) % 63
+    return out
 
 
 def tasks(df: DataFrame) -> int:
