@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,10 @@ SETTLE_EVERY = 2048
 TEXTS = ("field", "number", "factor", "std_unit", "currency", "assumed")
 
 
+_SEP = "\u001f"
+_FOUND = [T.StructField("seg", T.LongType()), T.StructField("level", T.DoubleType())]
+
+
 class Search:
     """Exact penalised changepoint search over a stream of points of one history.
 
@@ -140,71 +143,112 @@ def points(df: DataFrame, carried: Sequence[str], needed: Sequence[str], stateme
     return src.mapInArrow(run, out).withColumnsRenamed(dict(zip(names, carried)))
 
 
-def _borders(far: float) -> Callable:
-    """Marks, in rows sorted by history, those before which a border is certain; ``back`` counts the rows since the last one."""
+class _Marks:
+    """Rows of one task in order, and what the search says of them: ``seg`` (rid of the segment's first row) and ``level``; none for open rows."""
+
+    def __init__(self, penalty: float):
+        self.penalty = penalty
+        self.rids: list[int] = []  # of the rows not handed out
+        self.seg: list[int | None] = []  # marks of the first of them
+        self.level: list[float | None] = []
+        self.begin, self.search = 0, None  # where the current stretch begins
+
+    def _settle(self, found) -> None:
+        for a, b, level, _ in found:
+            self.seg += [self.rids[self.begin + a]] * (b - a)
+            self.level += [level] * (b - a)
+
+    def end(self) -> None:
+        """The current stretch is whole."""
+        if self.search is not None:
+            self._settle(self.search.rest())
+            self.search = None
+
+    def start(self) -> None:
+        """A stretch starts at the next row; what lies before without a search stays open."""
+        self.end()
+        self.leave()
+        self.begin, self.search = len(self.rids), Search(self.penalty)
+
+    def leave(self) -> None:
+        n = len(self.rids) - len(self.seg)
+        self.seg += [None] * n
+        self.level += [None] * n
+
+    def push(self, rid: int, y: float, unit) -> None:
+        if self.search is not None:
+            if len(self.search.units) >= SETTLE_EVERY and len(self.search.units) % SETTLE_EVERY == 0:
+                self._settle(self.search.settled())
+            self.search.push(y, unit)
+        self.rids.append(rid)
+
+    def take(self) -> tuple[list, list, list]:
+        k = len(self.seg)
+        out = self.rids[:k], self.seg, self.level
+        self.rids, self.seg, self.level, self.begin = self.rids[k:], [], [], self.begin - k
+        return out
+
+
+def _hand_out(held: list[pa.RecordBatch], marks: _Marks, more: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows that have their marks; the others stay held."""
+    if marks.seg:
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        rids, seg, level = marks.take()
+        k = len(rids)
+        held[:] = [table.slice(k)] if k < table.num_rows else []
+        yield pa.RecordBatch.from_arrays([*table.slice(0, k).columns, *more(rids), pa.array(seg, pa.int64()), pa.array(level, pa.float64())], names=names)
+
+
+def _search_tasks(penalty: float, far: float) -> Callable:
+    """Searches rows sorted by history, those between certain borders that lie in one task; numbers all rows.
+
+    Adds rid, tail, seg and level. The rows before a task's first certain border are open, and so are those after its
+    last one that aren't settled, whose ``tail`` is true: they begin at a certain border.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, opened = None, 0, None
+        from pyspark import TaskContext
+
+        marks, held, last = _Marks(penalty), [], None
+        rid = TaskContext.get().partitionId() << 33
         for b in batches:
             if not b.num_rows:
                 continue
-            hist, y = b.column("hist").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False)
-            unit, told = b.column("unit").fill_null(0).to_numpy(zero_copy_only=False), b.column("unit").is_valid().to_numpy(zero_copy_only=False)
-            first = last is None
-            if first:
-                last = (hist[0], y[0], unit[0], told[0])
-            h, v, u, t = (np.concatenate([[x], a[:-1]]) for x, a in zip(last, (hist, y, unit, told)))
-            certain = (h != hist) | (np.abs(v - y) > far) | (t & told & (u != unit))
-            at = np.where(certain, np.arange(b.num_rows) + seen, -1 if opened is None else opened)
-            at = np.maximum.accumulate(at)
-            back = pa.array(np.arange(b.num_rows) + seen - at, pa.int64(), mask=at < 0)
-            last, opened, seen = (hist[-1], y[-1], unit[-1], told[-1]), (None if at[-1] < 0 else int(at[-1])), seen + b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, back], names=[*b.schema.names, "back"])
+            held.append(b)
+            hist, y, unit = b.column("hist").to_pylist(), b.column("y").to_pylist(), b.column("unit").to_pylist()
+            for row in zip(hist, y, unit):
+                if last is not None and (row[0] != last[0] or abs(row[1] - last[1]) > far or row[2] is not None and last[2] is not None and row[2] != last[2]):
+                    marks.start()
+                marks.push(rid, row[1], row[2])
+                last, rid = row, rid + 1
+            if marks.search is None:
+                marks.leave()
+            yield from _hand_out(held, marks, lambda r: (pa.array(r, pa.int64()), pa.array([False] * len(r))), [*b.schema.names, "rid", "tail", "seg", "level"])
+        if held:
+            begun = marks.search is not None
+            marks.leave()
+            yield from _hand_out(held, marks, lambda r: (pa.array(r, pa.int64()), pa.array([begun] * len(r))), [*held[0].schema.names, "rid", "tail", "seg", "level"])
 
     return run
 
 
-def _search(penalty: float) -> Callable:
-    """Reads rows sorted by (stretch, rid) and adds ``seg`` (rid of the segment's first row), ``level`` and the row of its anchor's texts."""
+def _search_stretches(penalty: float) -> Callable:
+    """Searches rows sorted by (stretch, rid); adds seg and level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rids: list[int] = []  # of the held rows
-        done: list[tuple[int, float, int | None]] = []  # of those, the settled ones' marks
-        begin, now, search = 0, None, None  # where the current stretch begins among the held rows
-
-        def settle(found):
-            for a, b, level, anchor in found:
-                done.extend([(rids[begin + a], level, anchor)] * (b - a))
-
-        def emit():
-            nonlocal held, rids, done, begin
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            k = len(done)
-            seg, level, anchor = zip(*done)
-            out = pa.RecordBatch.from_arrays([*table.slice(0, k).columns, pa.array(seg, pa.int64()), pa.array(level, pa.float64()), pa.array(anchor, pa.int64())], names=[*table.schema.names, "seg", "level", "anchor"])
-            held, rids, done, begin = ([table.slice(k)] if k < table.num_rows else []), rids[k:], [], begin - k
-            return out
-
+        marks, held, now, names = _Marks(penalty), [], None, None
         for b in batches:
             held.append(b)
-            new = b.column("rid").to_pylist()
-            at = len(rids)
-            rids += new
-            for i, (stretch, y, unit) in enumerate(zip(b.column("stretch").to_pylist(), b.column("y").to_pylist(), b.column("unit").to_pylist())):
+            names = [*b.schema.names, "seg", "level"]
+            for stretch, rid, y, unit in zip(*(b.column(c).to_pylist() for c in ("stretch", "rid", "y", "unit"))):
                 if stretch != now:
-                    if search is not None:
-                        settle(search.rest())
-                    begin, now, search = at + i, stretch, Search(penalty)
-                search.push(y, unit)
-                if len(search.units) % SETTLE_EVERY == 0:
-                    settle(search.settled())
-            if done:
-                yield emit()
-        if search is not None:
-            settle(search.rest())
-        if done:
-            yield emit()
+                    marks.start()
+                    now = stretch
+                marks.push(rid, y, unit)
+            yield from _hand_out(held, marks, lambda r: (), names)
+        if held:
+            marks.end()
+            yield from _hand_out(held, marks, lambda r: (), names)
 
     return run
 
@@ -226,32 +270,28 @@ def unit_histories(df: DataFrame, series: Sequence[str], order: Sequence[str], c
     borders of the tasks themselves are joined by one row a task. Shifts and fills then run over one row a segment.
     """
     names, sn, on = [f"c{i}" for i in range(len(carried))], [f"s{i}" for i in range(len(series))], [f"o{i}" for i in range(len(order))]
-    src = cut(df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([*carried, *series, *order], [*names, *sn, *on])], *TEXTS, "y"))
+    given = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([*carried, *series, *order], [*names, *sn, *on])], *TEXTS, "y")
+    src = cut(given.withColumn("sid", F.monotonically_increasing_id()))
     far, head = math.sqrt(8 * penalty) * (1 + 1e-9), [*sn, "field"]
-    unit = F.when(F.col("factor").isNotNull(), F.xxhash64("factor", "std_unit", "currency"))
+    unit = F.when(F.col("factor").isNotNull(), F.concat_ws(_SEP, "factor", F.coalesce("std_unit", F.lit("")), F.coalesce("currency", F.lit(""))))
     sortable = [n for n in names if not src.schema[n].dataType.typeName().startswith(("map", "variant"))]
-    live = src.filter("y is not null").withColumn("hist", F.xxhash64(*head)).withColumn("unit", unit)
     by = [*head, *on, "number", "factor", "currency", *sortable]
-    ranged = live.repartitionByRange(*by).sortWithinPartitions(*by)
-    swept = T.StructType([*ranged.schema.fields, T.StructField("back", T.LongType())])
+    ranged = src.filter("y is not null").withColumn("hist", F.xxhash64(*head)).withColumn("unit", unit).repartitionByRange(*by).sortWithinPartitions(*by).select("hist", "field", "y", "unit", "sid")
     # rid follows the sorted order over all tasks; what is above its 33rd bit is the task
-    numbered = cut(ranged.mapInArrow(_borders(far), swept).withColumn("rid", F.monotonically_increasing_id()))
-    task = F.shiftright("rid", 33)
-    edge = F.struct("hist", "y", "unit")
-    opened = F.max(F.when(F.col("back").isNotNull(), F.col("rid") - F.col("back"))).alias("opened")
-    ends = numbered.groupBy(task.alias("task")).agg(F.min("rid").alias("first"), F.min_by(edge, "rid").alias("a"), F.max_by(edge, "rid").alias("z"), opened)
+    swept = cut(ranged.mapInArrow(_search_tasks(penalty, far), T.StructType([*ranged.schema.fields, T.StructField("rid", T.LongType()), T.StructField("tail", T.BooleanType()), *_FOUND])))
+    task, edge = F.shiftright("rid", 33).alias("task"), F.struct("hist", "y", "unit")
+    ends = swept.groupBy(task).agg(F.min("rid").alias("first"), F.min_by(edge, "rid").alias("a"), F.max_by(edge, "rid").alias("z"), F.min(F.when(F.col("tail"), F.col("rid"))).alias("tail_at"))
     tasks = Window.orderBy("task")  # one row a task
-    certain = "p is null or p.hist <> a.hist or abs(p.y - a.y) > {} or coalesce(p.unit <> a.unit, false)".format(far)
+    certain = f"p is null or p.hist <> a.hist or abs(p.y - a.y) > {far!r} or coalesce(p.unit <> a.unit, false)"
     ends = ends.withColumn("p", F.lag("z").over(tasks)).withColumn("starts", F.expr(certain))
-    before = F.max(F.greatest("opened", F.when(F.col("starts"), F.col("first")))).over(tasks.rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.withColumn("goes_on", before).select("task", F.when(F.col("starts"), F.col("first")).otherwise(F.col("goes_on")).alias("start"))
-    stretch = F.when(F.col("back").isNotNull(), F.col("rid") - F.col("back")).otherwise(F.col("start"))
-    joined = numbered.withColumn("task", task).join(F.broadcast(ends), "task").withColumn("stretch", stretch).drop("task", "start", "back")
-    stretches = joined.repartition("stretch").sortWithinPartitions("stretch", "rid")
-    marked = cut(stretches.mapInArrow(_search(penalty), T.StructType([*joined.schema.fields, T.StructField("seg", T.LongType()), T.StructField("level", T.DoubleType()), T.StructField("anchor", T.LongType())])))
-
-    anchor = F.struct("factor", "std_unit", "currency")
-    segs = marked.groupBy("seg").agg(F.first("hist").alias("hist"), F.first("field").alias("field"), F.first("level").alias("level"), F.max(F.when(F.col("factor").isNotNull(), anchor)).alias("told"))
+    before = F.max(F.coalesce("tail_at", F.when(F.col("starts"), F.col("first")))).over(tasks.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("goes_on", before).select("task", "tail_at", F.when(F.col("starts"), F.col("first")).otherwise(F.col("goes_on")).alias("start"))
+    stretch = F.when(F.col("tail"), F.col("tail_at")).otherwise(F.col("start"))
+    opened = swept.filter("seg is null").drop("seg", "level").withColumn("task", task).join(F.broadcast(ends), "task").withColumn("stretch", stretch).drop("task", "start", "tail_at")
+    closed = opened.repartition("stretch").sortWithinPartitions("stretch", "rid").mapInArrow(_search_stretches(penalty), T.StructType([*opened.schema.fields, *_FOUND]))
+    marked = swept.filter("seg is not null").unionByName(cut(closed).drop("stretch"))
+
+    segs = marked.groupBy("seg").agg(F.first("hist").alias("hist"), F.first("field").alias("field"), F.first("level").alias("level"), F.max("unit").alias("told"))
     along = Window.partitionBy("hist").orderBy("seg")
     so_far, whole = along.rowsBetween(Window.unboundedPreceding, Window.currentRow), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     change = F.col("level") - F.lag("level").over(along)
@@ -261,17 +301,16 @@ def unit_histories(df: DataFrame, series: Sequence[str], order: Sequence[str], c
         nearest = F.when(F.col("field") == name, close(factors)).otherwise(nearest)
     shift = F.when(F.col("nearest.off") <= slack, F.when(F.col("change") > 0, F.col("nearest.k")).otherwise(1 / F.col("nearest.k")))
     segs = segs.withColumn("change", change).withColumn("nearest", F.when(F.col("change").isNotNull(), nearest)).withColumn("shift", shift)
-    segs = segs.withColumn("steps", F.sum(F.coalesce(F.log10("shift"), F.lit(0.0))).over(so_far)).withColumn("number_of", F.row_number().over(along) - 1)
+    segs = segs.withColumn("steps", F.sum(F.coalesce(F.log10("shift"), F.lit(0.0))).over(so_far)).withColumn("segment", F.row_number().over(along) - 1).withColumn("told", F.split("told", _SEP))
     # an anchor's factor and the steps up to it, in sum, stay the same along a history while only known factors change its level
-    segs = segs.withColumn("base", F.when(F.col("told").isNotNull(), F.struct((F.log10(F.col("told.factor").cast("double")) + F.col("steps")).alias("at"), "told.std_unit", "told.currency")))
+    segs = segs.withColumn("base", F.when(F.col("told").isNotNull(), F.struct((F.log10(F.col("told")[0].cast("double")) + F.col("steps")).alias("at"), F.col("told")[1].alias("std_unit"), F.col("told")[2].alias("currency"))))
     segs = segs.withColumn("base", F.coalesce(F.last("base", True).over(so_far), F.first("base", True).over(whole)))
     fill = F.format_string("%.11e", F.pow(F.lit(10.0), F.col("base.at") - F.col("steps")))
-    told = F.coalesce("told", F.when(F.col("base").isNotNull(), F.struct(fill.alias("factor"), "base.std_unit", "base.currency")))
-    segs = segs.select("seg", told.alias("told"), "shift", F.col("number_of").alias("segment"))
-    own = [F.col(n).alias(c) for n, c in zip(names, carried)] + ["field", "number"]
-    found = marked.join(segs, "seg").select(
-        *own, F.coalesce("told.factor", "assumed").alias("factor"), F.coalesce("told.std_unit", "std_unit").alias("std_unit"), F.when(F.col("told").isNotNull(), F.col("told.currency")).otherwise(F.col("currency")).alias("currency"),
-        F.col("factor").isNotNull().alias("stated"), F.col("segment").cast("int").alias("segment"), F.when(F.col("rid") == F.col("seg"), F.col("shift")).alias("shift"),
+    told = F.coalesce("told", F.when(F.col("base").isNotNull(), F.array(fill, "base.std_unit", "base.currency")))
+    segs = segs.select("seg", told.alias("told"), "shift", "segment")
+    of_rows = marked.select("sid", "rid", "seg").join(segs, "seg").select("sid", "told", F.when(F.col("rid") == F.col("seg"), F.col("shift")).alias("shift"), "segment")
+    said = lambda i: F.nullif(F.col("told")[i], F.lit(""))
+    return src.join(of_rows, "sid", "left").select(
+        *[F.col(n).alias(c) for n, c in zip(names, carried)], "field", "number", F.coalesce(said(0), "factor", "assumed").alias("factor"), F.coalesce(said(1), "std_unit").alias("std_unit"),
+        F.when(F.col("told").isNotNull(), said(2)).otherwise(F.col("currency")).alias("currency"), F.col("factor").isNotNull().alias("stated"), F.col("segment").cast("int").alias("segment"), "shift",
     )
-    past = src.filter("y is null").select(*own, F.coalesce("factor", "assumed").alias("factor"), "std_unit", "currency", F.col("factor").isNotNull().alias("stated"), F.lit(None).cast("int").alias("segment"), F.lit(None).cast("double").alias("shift"))
-    return found.unionByName(past)
