@@ -305,7 +305,8 @@ def person_candidates(names: DataFrame) -> DataFrame:
     held = names.select("scope", "name").repartition(tasks(names)).mapInArrow(run, "scope string, name string, key string, marks long")
     held = held.select(F.xxhash64("scope", "key").alias("h"), "scope", "name", "marks")  # equal hashes of other keys only make a pair to be verified
     side = lambda x: held.select("h", F.col("scope").alias(f"s{x}"), F.col("name").alias(x), F.col("marks").alias(f"m{x}"))
-    met = side("a").join(side("b"), "h").filter("a < b and (ma = 0 or mb = 0 or (ma & mb) <> 0) and sa = sb")
+    # a name has many keys, which no estimate of the plan knows: never broadcast
+    met = side("a").hint("merge").join(side("b").hint("merge"), "h").filter("a < b and (ma = 0 or mb = 0 or (ma & mb) <> 0) and sa = sb")
     return met.select(F.col("sa").alias("scope"), "a", "b").distinct()
 
 
