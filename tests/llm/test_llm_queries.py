@@ -1,4 +1,5 @@
 import pytest
+from harness import same
 
 from foliospark.llm import queries
 
@@ -13,3 +14,9 @@ def test_columns(spark, sf):
     want = {"p6_found": {"field", "key_a", "key_b"}, "p7_ids": {"doc_id", "ids"}, "p9_found": {"doc_id", "sent_start", "sent_end"}}
     for k, v in want.items():
         assert set(queries.QUERIES[k](spark, sf).columns) == v
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, sf, name):
+    mine, theirs = same(spark, sf, queries.QUERIES[name], queries.SQL[name])
+    assert mine == theirs
