@@ -303,11 +303,11 @@ def person_candidates(names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["scope", "name", "key", "marks"])
 
     held = names.select("scope", "name").repartition(tasks(names)).mapInArrow(run, "scope string, name string, key string, marks long")
-    held = held.select(F.xxhash64("scope", "key").alias("h"), "scope", "name", "marks")  # equal hashes of other keys only make a pair to be verified
-    side = lambda x: held.select("h", F.col("scope").alias(f"s{x}"), F.col("name").alias(x), F.col("marks").alias(f"m{x}"))
+    held = held.select(F.xxhash64("scope", "key").alias("h"), F.xxhash64("name").alias("i"), "scope", "name", "marks")  # equal hashes of other keys only make a pair to be verified
+    side = lambda x: held.select("h", F.col("i").alias(f"i{x}"), F.col("scope").alias(f"s{x}"), F.col("name").alias(x), F.col("marks").alias(f"m{x}"))
     # a name has many keys, which no estimate of the plan knows: never broadcast
-    met = side("a").hint("merge").join(side("b").hint("merge"), "h").filter("a < b and (ma = 0 or mb = 0 or (ma & mb) <> 0) and sa = sb")
-    return met.select(F.col("sa").alias("scope"), "a", "b").distinct()
+    met = side("a").hint("merge").join(side("b").hint("merge"), "h").filter("(ia < ib or ia = ib and a < b) and ((ma & mb) <> 0 or ma = 0 or mb = 0) and sa = sb")
+    return met.select(F.col("sa").alias("scope"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def mask(marks: Iterable[str]) -> int:
@@ -325,7 +325,10 @@ def tasks(df: DataFrame) -> int:
 
 
 def with_grams(names: DataFrame, persons: bool, listed: bool = False) -> DataFrame:
-    """(scope, name) with the q-grams of its tokens; an acronym's one gram is # and its letters, which a listed name has too."""
+    """(scope, name) with the q-grams of its tokens as 32-bit checksums; an acronym's one gram is # and its letters, which a listed name has too.
+
+    Grams of equal checksums can only make names look more alike to the candidate search, never less.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,9 +340,10 @@ def with_grams(names: DataFrame, persons: bool, listed: bool = False) -> DataFra
                     out.append(["#" + c])
                 else:
                     out.append(grams(organisation_tokens(n)) + (["#" + initials(n)] if listed else []))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["scope", "name", "grams"])
+            sums = [sorted({zlib.crc32(g.encode()) - 2**31 for g in gs}) for gs in out]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.list_(pa.int32()))], names=["scope", "name", "grams"])
 
-    return names.select("scope", "name").repartition(tasks(names)).mapInArrow(run, "scope string, name string, grams array<string>")
+    return names.select("scope", "name").repartition(tasks(names)).mapInArrow(run, "scope string, name string, grams array<int>")
 
 
 def token_rows(names: DataFrame, persons: bool) -> DataFrame:
@@ -398,9 +402,11 @@ def link_to_list(names: DataFrame, listed: DataFrame, share: float = 0.3, least:
     refs = cut(with_grams(listed.select("scope", "name").distinct(), False, listed=True))
     pairs = cut(candidates(cut(with_grams(asked, False)), refs, share, same=False))
     w = cut(token_weights(listed.select("name").distinct(), False))
-    best = scored(pairs, w, False).filter(F.col("likeness") >= least).groupBy("a").agg(F.max_by(F.col("b"), F.col("likeness")).alias("name"), F.sort_array(F.collect_list("likeness"), False).alias("l"))
-    best = best.filter(f"size(l) = 1 or l[0] - l[1] > {margin}")
-    return best.join(listed.groupBy("name").agg(F.min("id").alias("id")), "name").select(F.col("a").alias("name"), "id", F.col("l")[0].alias("likeness"))
+    likest = Window.partitionBy("a").orderBy(F.desc("likeness"), "b")
+    two = scored(pairs, w, False).filter(F.col("likeness") >= least).withColumn("at", F.row_number().over(likest)).filter("at <= 2")
+    best = two.groupBy("a").agg(F.min_by("b", "at").alias("name"), F.max("likeness").alias("likeness"), F.max(F.when(F.col("at") == 2, F.col("likeness"))).alias("next"))
+    best = best.filter(f"next is null or likeness - next > {margin}")
+    return best.join(listed.groupBy("name").agg(F.min("id").alias("id")), "name").select(F.col("a").alias("name"), "id", "likeness")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
