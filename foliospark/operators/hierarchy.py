@@ -116,11 +116,15 @@ def paths(sets: DataFrame, sep: str = ">") -> DataFrame:
     """Adds ``path``, the names from the root to each node; null for a node without a root.
 
     Nodes are laid out in preorder over the tasks. A task sweeps its stretch with a stack of the ranges that are open;
-    what is open where a stretch begins are the ranges that hold its first place, met by one row a task.
+    what is open where a stretch begins are the ranges that hold its first place, met by one row a task; only ranges
+    that reach over the end of their own task can.
     """
     laid = cut(sets.repartitionByRange("root", "lo").withColumn("task", F.spark_partition_id()))
     heads = laid.filter("root is not null").groupBy("task").agg(F.min(F.struct("root", "lo")).alias("h")).select("task", F.col("h.root").alias("root"), F.col("h.lo").alias("place"))  # one row a task
-    above = laid.filter("hi - lo > 1").select("root", "lo", "hi", "node").join(F.broadcast(heads), "root").filter("lo < place and place < hi")
+    after = heads.withColumn("next", F.lead(F.struct("root", "place")).over(Window.orderBy("task"))).select("task", "next")
+    # of a task's nodes only those that are still open where the next one begins, no more than the depth
+    going_on = laid.filter("hi - lo > 1").join(F.broadcast(after), "task").filter("next.root = root and next.place < hi").select("root", "lo", "hi", "node")
+    above = going_on.join(F.broadcast(heads), "root").filter("lo < place and place < hi")
     open_there = above.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "node"))).alias("open"))  # no more than the depth
     first = heads.join(open_there, "task", "left").select("task", F.col("place").alias("lo"), "root", "open")
     given = laid.join(F.broadcast(first), ["task", "root", "lo"], "left").repartition("task").sortWithinPartitions("task", "root", "lo")
