@@ -363,15 +363,18 @@ def _read_weights(text: str | None) -> dict[str, float]:
     return {t: float(w) for t, w in (x.split("=") for x in text.split(" "))} if text else {}
 
 
-def scored(pairs: DataFrame, weights: DataFrame, persons: bool) -> DataFrame:
+def scored(pairs: DataFrame, weights: DataFrame, persons: bool, tokens: DataFrame | None = None) -> DataFrame:
     """Adds the likeness of each pair. ``weights`` has (token, weight); a pair gets those of its own tokens by a join.
 
+    ``tokens`` are the ``token_rows`` of at least all names of the pairs, if they are at hand.
+
     The largest weight of all, that of unknown tokens, is one number; no table of tokens reaches the driver.
     """
     (most,) = [r["m"] for r in weights.agg(F.max("weight").alias("m")).collect()]
     rarest = {} if most is None else {"": most}  # no token is empty
-    met = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    held = token_rows(met, persons).join(weights, "token").groupBy("name").agg(F.array_join(F.collect_list(F.concat_ws("=", "token", F.col("weight").cast("string"))), " ").alias("w"))
+    if tokens is None:
+        tokens = token_rows(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), persons)
+    held = tokens.join(weights, "token").groupBy("name").agg(F.array_join(F.collect_list(F.concat_ws("=", "token", F.col("weight").cast("string"))), " ").alias("w"))
     side = lambda x: held.select(F.col("name").alias(x), F.col("w").alias(f"w{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,10 +387,11 @@ def scored(pairs: DataFrame, weights: DataFrame, persons: bool) -> DataFrame:
     return weighed.repartition(tasks(pairs), F.col("scope"), F.col("a")).mapInArrow(run, "scope string, a string, b string, likeness double")
 
 
-def token_weights(names: DataFrame, persons: bool) -> DataFrame:
-    """(token, weight) of every token: log(names / names with it) over all names."""
+def token_weights(names: DataFrame, persons: bool, tokens: DataFrame | None = None) -> DataFrame:
+    """(token, weight) of every token: log(names / names with it) over all names; ``tokens`` are their ``token_rows``, if at hand."""
     total = names.count() or 1
-    return token_rows(names, persons).groupBy("token").agg(F.count("*").alias("n")).select("token", (F.log(F.lit(float(total)) / F.col("n")) + 0.1).alias("weight"))
+    rows = token_rows(names, persons) if tokens is None else tokens
+    return rows.groupBy("token").agg(F.count("*").alias("n")).select("token", (F.log(F.lit(float(total)) / F.col("n")) + 0.1).alias("weight"))
 
 
 def link_to_list(names: DataFrame, listed: DataFrame, share: float = 0.3, least: float = 0.6, margin: float = 0.02) -> DataFrame:
@@ -413,7 +417,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(scope, name, root): connected names get one root, the least of them. Labels jump along labels, so rounds are few."""
     both = edges.select("scope", F.col("a").alias("name"), F.col("b").alias("other")).unionByName(edges.select("scope", F.col("b").alias("name"), F.col("a").alias("other")))
     both = cut(both)
-    state = cut(nodes.select("scope", "name", F.col("name").alias("root")))
+    least = both.groupBy("scope", "name").agg(F.min("other").alias("near"))
+    state = cut(nodes.select("scope", "name").join(least, ["scope", "name"], "left").select("scope", "name", F.least("name", F.coalesce("near", "name")).alias("root")))
     while True:
         near = both.join(state.select("scope", F.col("name").alias("other"), "root"), ["scope", "other"]).groupBy("scope", "name").agg(F.min("root").alias("near"))
         moved = state.join(near, ["scope", "name"], "left").select("scope", "name", F.least("root", F.coalesce("near", "root")).alias("next"), "root")
@@ -438,9 +443,11 @@ def person_groups(names: DataFrame, share: float = 0.35, least: float = 0.78) ->
     short = cut(told.groupBy("scope", F.col("spelled").alias("name")).agg(F.min("short").alias("short")))
     asked = short.select("scope", "name")
     held = cut(with_grams(asked, True))
-    w = cut(token_weights(asked, True))
+    each = asked.select("name").distinct()
+    tokens = cut(token_rows(each, True))
+    w = cut(token_weights(each, True, tokens))
     pairs = candidates(held, held, share, same=True).unionByName(person_candidates(asked)).distinct()
-    links = cut(scored(cut(pairs), w, True).filter(F.col("likeness") >= least))
+    links = cut(scored(cut(pairs), w, True, tokens).filter(F.col("likeness") >= least))
     flag = lambda c, out: short.select("scope", F.col("name").alias(c), F.col("short").alias(out))
     marked = links.join(flag("a", "sa"), ["scope", "a"]).join(flag("b", "sb"), ["scope", "b"])
     groups = components(asked, marked.filter("not sa and not sb"))
