@@ -164,18 +164,20 @@ def token_likeness(a: str, b: str, persons: bool) -> float:
     most = 1 if len(b) < 8 else 2
     if len(b) >= 3 and (d := min(edits(a, b, most), edits(plain(a), plain(b), most))) <= most and d / len(b) <= 0.34:
         return 1 - d / len(b)
+    if persons and any(edits(full, long, 1) <= 1 for short, long in ((a, b), (b, a)) if len(long) > 4 and long not in _GIVEN for full in _GIVEN.get(short, ())):
+        return 0.85  # a short form and its given name with a typing error
     return 0.0
 
 
 def soft_likeness(a: list[str], b: list[str], weight: dict[str, float], persons: bool) -> tuple[float, list[str], list[str]]:
     """Weighted share of likely paired tokens of two names, and the tokens of each that found no partner.
 
-    Pairs are chosen greedily from the most alike. A pair has the larger weight of its tokens that are known, so a
+    Pairs are chosen greedily from the most alike, those of written-out tokens before initials. A pair has the larger weight of its tokens that are known, so a
     mistyped token doesn't count as a rare one.
     """
     rare = max(weight.values(), default=1.0)
     w = lambda t: 0.3 if len(t) == 1 else weight.get(t, rare)
-    pairs = sorted(((s, len(x), i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := token_likeness(x, y, persons)) > 0), key=lambda p: (-p[0], -p[1], p[2], p[3]))
+    pairs = sorted(((s, len(x), i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := token_likeness(x, y, persons)) > 0), key=lambda p: (p[1] == 1 or len(b[p[3]]) == 1, -p[0], -p[1], p[2], p[3]))
     used_a, used_b, got, total = set(), set(), 0.0, 0.0
     for s, _, i, j in pairs:
         if i not in used_a and j not in used_b:
@@ -189,6 +191,18 @@ def soft_likeness(a: list[str], b: list[str], weight: dict[str, float], persons:
     return (got / total if total else 0.0), left_a, left_b
 
 
+def _initials_fit(x: list[str], y: list[str]) -> bool:
+    """Whether the first initial of ``x``, where it has one, can be that of a given name which only ``y`` writes out."""
+    first = next((t for t in x if len(t) == 1), None)
+    if first is None:
+        return True
+    left = [t for t in y if len(t) > 1]
+    for t in x:
+        if len(t) > 1 and left and token_likeness(t, best := max(left, key=lambda u: token_likeness(t, u, True)), True) > 0:
+            left.remove(best)
+    return not left or any(t[0] == first or any(g[0] == first for g in _GIVEN.get(t, ())) for t in left)
+
+
 def person_likeness(a: str, b: str, weight: dict[str, float]) -> float:
     """How likely two spellings mean one person: 0 where a written-out part of one has no partner in the other."""
     x, y = person_tokens(a), person_tokens(b)
@@ -198,7 +212,7 @@ def person_likeness(a: str, b: str, weight: dict[str, float]) -> float:
         return 0.9 if flat <= 1 and "".join(x) == "".join(y) else 0.0
     if not any(len(t) > 1 for t in x) or not any(len(t) > 1 for t in y):
         return 0.0
-    return s
+    return s if _initials_fit(x, y) and _initials_fit(y, x) else 0.0
 
 
 @lru_cache(50_000)

@@ -63,6 +63,13 @@ def test_person_candidates_miss_no_likely_pair(spark):
     assert likely and likely <= got
 
 
+def test_initials_stand_for_given_names(spark):
+    like = lambda a, b: names.person_likeness(a, b, {"": 3.0}) > 0.78
+    assert like("Kegsiøn K.", "Kegisøn, Kwame") and like("K. Kegisøn", "Kegisøn Kwame") and like("Kriosborough, M.L.", "Margaret Kriosborough") and like("Riovaß, M.K.", "Margaret K. Riovaß")
+    assert not like("Kriosborough, M.L.", "Leonard Kriosborough") and not like("Queitromann, P.T.", "Theodore Queitromann")
+    assert like("Rick Gaemilanda", "Richarrd Gaemilanda") and like("Doothea Zolttinsøn", "Dora Zolttinsøn") and not like("Rick Gaemilanda", "Richenda Gaemilanda") and not like("Uli Fiaß", "Yevgeny Fiaß")
+
+
 def test_every_token_has_its_weight(spark):
     common = [(f"w{i} w{i + 1}",) for i in range(25_000)]
     listed = spark.createDataFrame([*common, ("w0 rareone",)], "name string")
